@@ -7,7 +7,8 @@ among the others until none is above. That fixed point is min(2 * size, level *
 weight), whose level follows from prefix sums over the sources by size/weight, so no
 loop is needed.
 
-Each document has a hash-random key. Within a source, documents are range-partitioned
+Each document has a hash-random key of 60 bits, from the MD5 of a seed, its doc_id and
+its text's MD5. Within a source, documents are range-partitioned
 by key into buckets of about `bucket` rows, each bucket is sorted and summed by
 itself, and a second, small prefix sum over the buckets gives each its offset: no
 source ever lies in one task. The budget is the target rounded down; whole epochs
@@ -52,14 +53,15 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: i
 
 
 def mix(rows: DataFrame, key: Column, seed: int = 0, weights=WEIGHTS, share: float = SHARE, epochs: int = MOST_EPOCHS, bucket: int = BUCKET) -> DataFrame:
-    """rows(source, size, ...) -> also source_size, target and taken; key tells rows apart and is hashed with the seed."""
-    rows = checkpoint(rows.withColumn("_key", F.xxhash64(F.lit(seed), key)))
+    """rows(source, size, ...) -> also source_size, target and taken; key, a string, tells rows apart and is hashed with the seed."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), key))
+    rows = checkpoint(rows.withColumn("_key", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")))
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     planned = targets(sources.select("source", "source_size"), weights, share, epochs)
     planned = checkpoint(planned.join(sources.select(F.col("source").alias("s2"), "_rows"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"))
     # buckets of a source are equal ranges of its keys
     plan = planned.select(F.col("source").alias("s2"), "source_size", "target", F.ceil(F.col("_rows") / bucket).alias("_n"))
-    spread = (F.col("_key") / F.lit(2.0**64) + 0.5) * F.col("_n")
+    spread = (F.col("_key") / F.lit(2.0**60)) * F.col("_n")
     with_plan = rows.join(F.broadcast(plan) if _small(planned) else plan, F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     placed = with_plan.withColumn("_bucket", F.least(F.floor(spread), F.col("_n") - 1).cast("long")).drop("_n")
     sums = placed.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
@@ -81,8 +83,8 @@ def _small(planned: DataFrame, most: int = 10_000) -> bool:
 
 def mixture(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), words_of(text_of()).alias("size"), F.xxhash64(text_of()).alias("_tie"))
-    return mix(rows, F.struct("doc_id", "_tie"), **how).select("doc_id", "size", "source_size", "target", "taken")
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), words_of(text_of()).alias("size"), F.md5(text_of()).alias("_tie"))
+    return mix(rows, F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_tie"), **how).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def apply_mixture(docs: DataFrame, **how) -> DataFrame:
@@ -90,7 +92,7 @@ def apply_mixture(docs: DataFrame, **how) -> DataFrame:
     keyed = content_keyed(docs)
     rows = keyed.select("h1", "h2", F.col("row.source").cast("string").alias("source"), words_of(F.col("text")).alias("size"))
     # equal rows share what they take: one of them stands for all
-    taken = mix(rows, F.struct("h1", "h2"), **how).groupBy("h1", "h2").agg(F.sum("taken").alias("words"), F.max("size").alias("size")).where("words > 0")
+    taken = mix(rows, F.concat_ws("|", F.col("h1").cast("string"), F.col("h2").cast("string")), **how).groupBy("h1", "h2").agg(F.sum("taken").alias("words"), F.max("size").alias("size")).where("words > 0")
     once = keyed.drop("id", "text").dropDuplicates(["h1", "h2"]).join(taken, ["h1", "h2"])
     part = F.expr("words % size")
     counts = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.expr("words div size").cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
