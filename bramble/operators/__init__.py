@@ -1,0 +1 @@
+"""Operators over graphs whose nodes are numbered in the order of their names."""

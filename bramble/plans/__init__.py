@@ -1,0 +1 @@
+"""Built graphs, the queries registered over them, and their SQL."""
