@@ -57,7 +57,7 @@ def tokens(text: str) -> list[str]:
                 start -= 1
             while end < min(len(low), m.end() + 64) and not low[end].isspace():
                 end += 1
-            out.extend(_TOKEN.findall(low[start:end].translate(UNMASK)))
+            out.extend(_TOKEN.findall(low[start:end].rstrip("!?.,;:'\")").translate(UNMASK)))
     return out
 
 
