@@ -52,7 +52,11 @@ def labelled_samples(spark: SparkSession, prose: DataFrame | None = None, n: int
     lower = [F.array_join(F.array(*pick), s) for s in ("_", "-", "", "/")]
     camel = F.concat(pick[0], *(F.initcap(p) for p in pick[1:]))
     numbered = F.concat(lower[0], F.lit("_"), (F.col("id") % 1000).cast("string"))
-    forms = [*lower, camel, F.initcap(camel), F.upper(lower[0]), F.upper(lower[2]), numbered, F.concat(camel, (F.col("id") % 100).cast("string"))]
+    day = F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") * 7 % 12000).cast("int"))
+    dated = [F.concat(day.cast("string"), F.lit("_"), lower[0]), F.concat(lower[1], F.lit("-"), F.date_format(day, "yyyyMMdd")), F.date_format(day, "yyyy-MM-dd-HH-mm")]
+    sign = F.substring(F.lit("-=_/+*" + ALPHABET), (F.col("id") % (len(ALPHABET) + 6) + 1).cast("int"), F.lit(1))
+    number = F.lpad(F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 14), 16, 10), 16, "0")
+    forms = [*dated, F.repeat(sign, F.lit(24)), F.repeat(F.substring(F.lit("-=_/+"), (F.col("id") % 5 + 1).cast("int"), F.lit(1)), F.lit(32)), number, *lower, camel, F.initcap(camel), F.upper(lower[0]), F.upper(lower[2]), numbered, F.concat(camel, (F.col("id") % 100).cast("string"))]
     form = F.element_at(F.array(*forms), (F.col("id") % len(forms) + 1).cast("int"))
     both = random.union(rows.select(form.alias("token"), F.lit(0).alias("random")))
     if prose is None:

@@ -1,0 +1,91 @@
+import pytest
+from pyspark.sql import functions as F
+
+from bramble.llm import url_reputation as U
+from bramble.llm.queries import RULES
+
+
+@pytest.mark.parametrize(
+    ("url", "host", "path"),
+    [
+        (None, "", ""), ("", "", ""), ("no scheme", "", ""), ("http://", "", ""), ("http://A.COM", "a.com", ""), ("://x/y://z", "x", "/y://z"),
+        ("http://ÄB.com/p/?q#f", "Äb.com", "/p/"), ("http://a.com?x=/y", "a.com", ""), ("http://a.com#/y", "a.com", ""), ("http://a.com/a\nb#c", "a.com", "/a\nb"),
+        ("http://u@a.com:80/x", "u@a.com:80", "/x"),
+    ],
+)
+def test_parts(spark, url, host, path):
+    r = spark.createDataFrame([(url,)], "url string").select(U.host_of(F.col("url")).alias("h"), U.path_of(F.col("url")).alias("p")).first()
+    assert (r.h, r.p) == (host, path)
+
+
+@pytest.mark.parametrize(
+    ("host", "path", "rule"),
+    [
+        ("com", "/", "com/"), ("x.com", "/a", "com/"), ("xcom", "/a", None), ("example.com", "/en/1", "example.com/en/"), ("www.example.com", "/en/1", "www.example.com/en/"),
+        ("a.www.example.com", "/en/", "www.example.com/en/"), ("a.example.com", "/en", "com/"), ("a.net", "/es/", "net/es/"), ("a.net", "/de/", None), ("a.com", "", None),
+    ],
+)
+def test_rules(spark, host, path, rule):
+    r = spark.createDataFrame([(host, path)], "h string, p string").select(U.rule_of(F.col("h"), F.col("p"), RULES).alias("r")).first().r
+    assert (r.rule if r else None) == rule
+    if r:
+        assert r.action == dict((b, a) for a, b in RULES)[rule]
+
+
+def test_names(spark):
+    hosts = {"a.b.example.com": ("com", "example.com"), "x.y.co.uk": ("co.uk", "y.co.uk"), "co.uk": ("co.uk", "co.uk"), "localhost": ("localhost", "localhost"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    s = U.suffix_of(F.col("h"))
+    for r in df.select("h", s.alias("s"), U.domain_of(F.col("h"), s).alias("d")).collect():
+        assert (r.s, r.d) == hosts[r.h]
+
+
+def plain(outcomes, z):
+    """The same shrinkage in plain Python; outcomes: host -> (n, k), hosts of the form a.b.c."""
+    def weight(rows):
+        rows = [r for r in rows if r[0]]
+        d = sum(n - 1 for n, *_ in rows)
+        s = sum((k - n * m) ** 2 / (n * m * (1 - m)) for n, k, m in rows)
+        return 1 / min(max((s - len(rows)) / d if d else 0.5, 0.001), 0.9) - 1
+
+    top = (sum(k for _, k in outcomes.values()) + 1) / (sum(n for n, _ in outcomes.values()) + 2)
+    means = {"": top}
+    for depth in (1, 2):
+        sums = {}
+        for h, (n, k) in outcomes.items():
+            name = ".".join(h.split(".")[-depth:])
+            a, b = sums.get(name, (0, 0))
+            sums[name] = (a + n, b + k)
+        parent = lambda name: means[name.split(".", 1)[1] if depth == 2 else ""]  # noqa: E731, B023
+        w = weight([(n, k, parent(x)) for x, (n, k) in sums.items()])
+        means |= {x: (k + w * parent(x)) / (n + w) for x, (n, k) in sums.items()}
+    w = weight([(n, k, means[h.split(".", 1)[1]]) for h, (n, k) in outcomes.items()])
+    out = {}
+    for h, (n, k) in outcomes.items():
+        mu = means[h.split(".", 1)[1]]
+        a, b = k + w * mu, n - k + w * (1 - mu)
+        m = a / (a + b)
+        out[h] = (m, m + z * (m * (1 - m) / (a + b + 1)) ** 0.5)
+    return out
+
+
+def test_reputation_against_plain_python(spark):
+    outcomes = {"good.alpha.com": (40, 39), "bad.alpha.com": (30, 1), "new.alpha.com": (0, 0), "x.beta.com": (12, 2), "y.beta.com": (3, 0), "new.beta.com": (0, 0), "z.gamma.org": (20, 18), "one.delta.org": (1, 0)}
+    rows = [(h, int(i < k)) for h, (n, k) in outcomes.items() for i in range(n)] + [(h, None) for h in outcomes]
+    got = {r.host: r for r in U.reputations(spark.createDataFrame(rows, "host string, good int")).collect()}
+    want = plain(outcomes, U.Z)
+    for h, (m, u) in want.items():
+        assert got[h]["mean"] == pytest.approx(m) and got[h].upper == pytest.approx(u)
+    assert got["bad.alpha.com"].upper < 0.5 < got["good.alpha.com"].upper
+    assert got["new.beta.com"]["mean"] < got["new.alpha.com"]["mean"]
+
+
+def test_whole_operator(spark):
+    pages = spark.createDataFrame([(i, f"http://bad.site.org/x/{i}", 1) for i in range(60)] + [(i, f"http://fine.site.org/x/{i}", 1) for i in range(60, 120)] + [(None, None, 1), (200, "http://bad.site.org/", 1), (200, "http://bad.site.org/", 1), (201, "http://a.com/", 1)], "page_id long, url string, verdict int")
+    labels = spark.createDataFrame([(i, int(i >= 60), 0) for i in range(120)] + [(3, 0, 0), (None, 1, 1), (5, None, 0)], "doc_id long, quality int, toxic int")
+    got = U.filter_urls(pages, labels, RULES)
+    assert got.count() == pages.count()
+    verdicts = {(r.host, r.verdict) for r in got.collect()}
+    assert verdicts == {("bad.site.org", "block"), ("fine.site.org", "allow"), ("", "allow"), ("a.com", "allow")}
+    assert U.filter_urls(pages.limit(0), labels, RULES).count() == 0
+    assert {r.verdict for r in U.filter_urls(pages, labels.limit(0), RULES).collect()} == {"allow"}
