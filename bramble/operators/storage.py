@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from bramble.functions.postings import elias_fano_bits, fixed_bytes, interpolative_bits, varint_bytes
@@ -43,12 +43,13 @@ def verify(edges: DataFrame, stored: DataFrame) -> DataFrame:
     return diff.agg(F.coalesce(F.sum(F.greatest("d", F.lit(0))), F.lit(0)).alias("missing"), F.coalesce(F.sum(F.greatest(-F.col("d"), F.lit(0))), F.lit(0)).alias("unexpected"))
 
 
-_LIST = Window.partitionBy("src").orderBy("dst")
+def _list() -> WindowSpec:
+    return Window.partitionBy("src").orderBy("dst")
 
 
 def gap_encode(edges: DataFrame) -> DataFrame:
     """src, position, gap: each id less the one before less one."""
-    return edges.select("src", (F.row_number().over(_LIST) - 1).cast("long").alias("position"), (F.col("dst") - F.coalesce(F.lag("dst").over(_LIST), F.lit(-1)) - 1).alias("gap"))
+    return edges.select("src", (F.row_number().over(_list()) - 1).cast("long").alias("position"), (F.col("dst") - F.coalesce(F.lag("dst").over(_list()), F.lit(-1)) - 1).alias("gap"))
 
 
 def gap_decode(code: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def gap_decode(code: DataFrame) -> DataFrame:
 
 def block_max(edges: DataFrame, size: int = 128) -> DataFrame:
     """src, block, largest: of each block of `size` postings the largest id."""
-    placed = edges.select("src", "dst", F.floor((F.row_number().over(_LIST) - 1) / size).cast("long").alias("block"))
+    placed = edges.select("src", "dst", F.floor((F.row_number().over(_list()) - 1) / size).cast("long").alias("block"))
     return placed.groupBy("src", "block").agg(F.max("dst").alias("largest"))
 
 

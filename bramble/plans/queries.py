@@ -347,7 +347,7 @@ def cursor(spark, d):
     """On each list: the first id of at least a tenth of the source's own, its place, and how many lie below the source."""
     lists = graph.adjacency(built(spark, d).edges)
     first = postings.next_geq(F.col("nbrs"), F.floor(F.col("src") / 10))
-    return lists.select("src", first.alias("next_geq"), postings.position(F.col("nbrs"), first).alias("position"), F.size(postings.between(F.col("nbrs"), F.lit(0), F.col("src"))).cast("long").alias("below"))
+    return lists.select("src", first.alias("next_geq"), F.coalesce(postings.position(F.col("nbrs"), first), F.lit(-1)).alias("position"), F.size(postings.between(F.col("nbrs"), F.lit(0), F.col("src"))).cast("long").alias("below"))
 
 
 @query

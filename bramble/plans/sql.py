@@ -126,7 +126,7 @@ SQL: dict[str, str] = {
     "gap_encode": _with("SELECT src, position, gap FROM gaps", "gaps"),
     "gap_decode": _with("SELECT src, dst FROM edges", "edges"),
     "monotone_code": _with("SELECT src, (sum(score + 1) - 1)::BIGINT AS last_code, true AS decodes FROM scored GROUP BY src", "scored"),
-    "cursor": _with("SELECT src, next_geq, coalesce((SELECT count(*) FROM edges x WHERE x.src = t.src AND x.dst < next_geq), -1)::BIGINT AS position, below FROM (SELECT src, min(dst) FILTER (dst >= src // 10) AS next_geq, count(*) FILTER (dst < src) AS below FROM edges GROUP BY src) t", "edges"),
+    "cursor": _with("SELECT src, next_geq, CASE WHEN next_geq IS NULL THEN -1 ELSE (SELECT count(*) FROM edges x WHERE x.src = t.src AND x.dst < next_geq) END::BIGINT AS position, below FROM (SELECT src, min(dst) FILTER (dst >= src // 10) AS next_geq, count(*) FILTER (dst < src) AS below FROM edges GROUP BY src) t", "edges"),
     "block_max": _with(f"SELECT src, position // {BLOCK} AS block, max(dst) AS largest FROM gaps GROUP BY ALL", "gaps"),
     "ef_size_bits": _with(f"SELECT src, n, (n * {_BIT} + 2 * n + 1)::BIGINT AS bits FROM lists", "lists"),
     "varbyte_size": _with("SELECT src, n, bytes FROM coded", "coded"),
