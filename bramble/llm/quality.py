@@ -2,8 +2,8 @@
 
 The base rules fail texts of fewer than 50 words, or more than half of whose words lie
 in three-word windows that occur twice or more in the text. The method compares two
-histograms of each remaining text, of its character classes and of the commonest words
-of its language, with the language's references by the Jensen-Shannon distance (base
+histograms of each remaining text, of its character classes and of very common words
+of its language, standing alone and in lower case, with the language's references by the Jensen-Shannon distance (base
 2, from 0 to 1). A reference is the mean of the histograms of all texts of that
 language that are long enough. Distances have minimum-length guards: texts shorter
 than that are not judged by them. Languages without a word list, and null ones, are
@@ -24,7 +24,7 @@ from bramble.llm.common import WORD, checkpoint, let, text_of
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: The least words for a verdict by distances, and the distances beyond which a text is not kept.
-GUARD, MOST_CHARS, MOST_WORDS = 80, 0.25, 0.36
+GUARD, MOST_CHARS, MOST_WORDS = 80, 0.25, 0.30
 #: Very common words of each language, sixteen each.
 COMMON = {
     "en": "the of and to in a is that it was for on are as with be".split(),
@@ -32,21 +32,27 @@ COMMON = {
     "fr": "de la le et les des en un du une que est pour qui dans a".split(),
     "es": "de la que el en y a los se del las un por con no una".split(),
 }
-#: Character classes; what is left makes the last one.
-CLASSES = ("[a-z]+", "[A-Z]+", "[0-9]+", r"[\x20\x09-\x0D]+", r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+")
-_MARKS = ".,;:!?()[]{}\"'`*#$%&|<>-_\n\t\r"
+#: Character classes, white space first; what is left makes the last one.
+CLASSES = (r"[\x20\x09-\x0D]+", "[a-z]+", "[A-Z]+", "[0-9]+", r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+")
 
 
 def repeated_words(words: Column) -> Column:
     """The number of words in three-word windows found twice or more."""
-    windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
+    last = F.size(words) - 3
+
+    def hashed(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
     def covered(s: Column) -> Column:
         # of sorted windows, those equal to the one before or after
-        same = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: (F.get(s, k)["h"] == F.get(s, k - 1)["h"]) | (F.get(s, k)["h"] == F.get(s, k + 1)["h"]))
-        return F.size(F.array_distinct(F.flatten(F.transform(same, lambda k: F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda d: F.get(s, k)["i"] + d)))))
+        same = F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]))
+        return F.size(F.array_distinct(F.flatten(F.transform(same, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+
+    def counted(h: Column) -> Column:
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(placed, covered))  # most texts repeat nothing
 
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(F.sort_array(windows), covered)).cast("long")
+    return F.when(last < 1, F.lit(0)).otherwise(let(hashed(words), counted)).cast("long")
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -59,21 +65,32 @@ def features(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the counts, and the two histograms of every text."""
     text = F.col("text")
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    counted = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.aggregate(w, F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("word_chars"), repeated_words(w).alias("n_repeat_words")))
-    symbols = (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long")
-    known = F.array(*(F.length(text) - F.length(F.regexp_replace(text, c, "")) for c in CLASSES))
-    classes = let(known, lambda c: F.concat(c, F.array(F.length(text) - F.aggregate(c, F.lit(0), lambda s, x: s + x))))
-    plain = F.split(F.translate(F.lower(text), _MARKS, " " * len(_MARKS)), " +")
-    lists = F.lit(None).cast("array<string>")
-    for lang, common in COMMON.items():
-        lists = F.when(F.col("lang") == lang, F.split(F.lit(" ".join(common)), " ")).otherwise(lists)
-
-    def tally(found: Column) -> Column:
-        return F.transform(lists, lambda w: F.size(F.filter(found, lambda x: x == w)))
-
-    common = F.when(lists.isNotNull(), let(F.filter(plain, lambda x: F.array_contains(lists, x)), tally))
+    every = sorted({w for list_ in COMMON.values() for w in list_})
+
+    def of_words(w: Column) -> Column:
+        # every common word between two spaces of its own, so that one's removal leaves the others alone
+        found = F.array_join(F.filter(w, lambda x: x.isin(*every)), "  ")
+        return F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"), F.concat(F.lit(" "), found, F.lit(" ")).alias("found"))
+
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
-    return rows.select("doc_id", "lang", counted.alias("c"), symbols.alias("n_symbols"), duplicate_lines(text).alias("n_dup_lines"), classes.alias("classes"), common.alias("common")).select("doc_id", "lang", "c.*", "n_symbols", "n_dup_lines", "classes", "common")
+    rows = rows.select("doc_id", "lang", let(words, of_words).alias("c"), duplicate_lines(text).alias("n_dup_lines"), F.length(text).alias("left0"), F.regexp_replace(text, CLASSES[0], "").alias("rest"))
+    # each class is taken out of what the ones before have left
+    for k, c in enumerate(CLASSES[1:], 1):
+        if k == 2:  # symbols are neither white space nor letters
+            rows = rows.withColumn("n_symbols", (F.length("rest") - F.length(F.translate("rest", "#*$%&|<>", ""))).cast("long"))
+        rows = rows.withColumn(f"left{k}", F.length("rest")).withColumn("rest", F.regexp_replace("rest", c, ""))
+    last = len(CLASSES)
+    rows = rows.withColumn(f"left{last}", F.length("rest")).drop("rest")
+    classes = F.array(*(F.col(f"left{k}") - F.col(f"left{k + 1}") for k in range(last)), F.col(f"left{last}"))
+
+    def tally(word: str) -> Column:
+        gone = F.octet_length("c.found") - F.octet_length(F.replace(F.col("c.found"), F.lit(f" {word} "), F.lit("")))
+        return (gone / (len(word.encode()) + 2)).cast("int")
+
+    common = F.lit(None).cast("array<int>")
+    for lang, list_ in COMMON.items():
+        common = F.when(F.col("lang") == lang, F.array(*map(tally, list_))).otherwise(common)
+    return rows.select("doc_id", "lang", "c.n_words", "c.n_repeat_words", F.col("left1").cast("long").alias("word_chars"), "n_symbols", "n_dup_lines", classes.alias("classes"), common.alias("common"))
 
 
 def _distance(p: list[Column], q: list[Column]) -> Column:

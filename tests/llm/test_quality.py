@@ -29,7 +29,7 @@ def distance(p, q):
 
 
 def classes(text):
-    counts = [len(re.findall(c, text)) for c in ("[a-z]", "[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]")]
+    counts = [len(re.findall(c, text)) for c in (r"[\x20\x09-\x0D]", "[a-z]", "[A-Z]", "[0-9]", r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]")]
     return [c / max(len(text), 1) for c in [*counts, len(text) - sum(counts)]]
 
 
@@ -62,6 +62,14 @@ def test_counts_and_distances(docs):
             assert g.char_distance is None and g.word_distance is None
 
 
+def test_common_words(docs):
+    got = {r.doc_id: r.common for r in quality.features(docs).collect() if r.lang == "en"}
+    for r in docs.collect():
+        if r.lang == "en":
+            words = re.findall(WORD, r.text or "")
+            assert got[r.doc_id] == [words.count(w) for w in quality.COMMON["en"]]
+
+
 def test_row_count_and_empty(docs):
     assert quality.judge(docs).count() == docs.count()
     assert quality.judge(docs.limit(0)).count() == 0
