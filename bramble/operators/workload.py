@@ -80,7 +80,7 @@ def sample_queries(pairs: DataFrame, ids: DataFrame, shortest: int = 1, longest:
     counted = cut.groupBy("u", "p.length", "p.prefix").agg(F.count("*").alias("truth_count"))
     key = -F.log(uniform(F.lit(seed), "u", "length", "prefix") + F.lit(1e-10)) / F.col("truth_count")
     w = Window.partitionBy("u", "length").orderBy(key, "prefix")
-    return counted.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= each).select("u", "length", "prefix", "truth_count")
+    return counted.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= each).select("u", F.col("length").cast("long").alias("length"), "prefix", "truth_count")
 
 
 def shuffled(queries: DataFrame, seed: int = 42) -> DataFrame:
