@@ -34,7 +34,8 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    found = quality.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +78,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
+def _quality_sql() -> str:
+    total = len(quality.CLASSES) + 1
+    left = ["text"]
+    for c in quality.CLASSES:
+        left.append(f"regexp_replace({left[-1]}, '{c}', '', 'g')")
+    sizes = ", ".join(f"length({x}) AS left{k}" for k, x in enumerate(left))
+    a = [f"(left{k} - {f'left{k + 1}' if k + 1 < total else '0'})::DOUBLE / greatest(left0, 1)" for k in range(total)]
+    counts = " ".join(f"WHEN '{lang}' THEN [{', '.join(f"len(list_filter(w, lambda x: x = '{x}'))" for x in list_)}]" for lang, list_ in quality.COMMON.items())
+    b = [f"least(coalesce(common[{i + 1}], 0)::DOUBLE / greatest(n_words, 1), 1.0)" for i in range(16)]
+    b.append(f"greatest(1 - ({' + '.join(b)}), 0.0)")
+
+    def distance(name: str, n: int) -> str:
+        part = "CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p} + {q}) / 2)) ELSE 0 END"
+        terms = [part.format(x=x, p=f"s.{name}{i}", q=f"r.{name}{i}") for i in range(n) for x in (f"s.{name}{i}", f"r.{name}{i}")]
+        return f"sqrt(greatest(({' + '.join(terms)}) / 2, 0.0))"
+
+    columns = [*(f"a{i}" for i in range(total)), *(f"b{i}" for i in range(17))]
+    shares = ", ".join(f"{x} AS {c}" for x, c in zip([*a, *b], columns, strict=True))
+    return rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM t, range(1, len(w) - 1) r(i) WHERE len(w) > 2
+), twice AS (SELECT rid, i FROM grams QUALIFY count(*) OVER (PARTITION BY rid, g) > 1
+), repeats AS (SELECT rid, count(DISTINCT i + d) AS n FROM twice, range(3) r(d) GROUP BY rid
+), counted AS (
+  SELECT t.rid, doc_id, lang, w, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_repeat_words,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, {sizes}, CASE lang {counts} END AS common,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM t LEFT JOIN repeats USING (rid)
+), s AS (SELECT *, n_words >= {quality.GUARD} AS judged, {shares} FROM counted
+), r AS (SELECT lang, {', '.join(f'avg({c}) AS {c}' for c in columns)} FROM s WHERE judged GROUP BY lang
+), apart AS (
+  SELECT s.*, judged AND ({distance('a', total)} > {quality.MOST_CHARS} OR (common IS NOT NULL AND {distance('b', 17)} > {quality.MOST_WORDS})) AS far
+  FROM s LEFT JOIN r ON s.lang IS NOT DISTINCT FROM r.lang
+)
+SELECT doc_id, n_words, left1::BIGINT AS word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words,
+  n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed,
+  NOT (n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words) AND NOT coalesce(far, false) AS kept
+FROM apart
+"""
+
+
 SQL: dict[str, str] = {
+    "op8_quality": _quality_sql(),
     "op1_url_filters": r"""
 WITH split AS (
   SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
