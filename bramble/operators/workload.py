@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bramble.functions.names import prefix_of
-from bramble.operators.numbering import checkpoint, numbered
+from bramble.operators.numbering import checkpoint, numbered, running_sum
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -20,9 +20,9 @@ def uniform(*parts: Column | str) -> Column:
 
 def prefix_cdf(names: DataFrame, length: int) -> DataFrame:
     """prefix, n, and the share of names up to it in byte order."""
-    counts = names.groupBy(prefix_of(F.col("name"), length).alias("prefix")).agg(F.count("*").alias("n"))
-    running = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select("prefix", "n", (F.sum("n").over(running) / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("cdf"))
+    counts = checkpoint(names.groupBy(prefix_of(F.col("name"), length).alias("prefix")).agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    return running_sum(counts, "before", F.col("n"), F.col("prefix")).select("prefix", "n", ((F.col("before") + F.col("n")) / total).alias("cdf"))
 
 
 def user_buckets(degrees: DataFrame, buckets: int) -> DataFrame:

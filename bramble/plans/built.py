@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,17 +26,19 @@ class Built:
     remap: DataFrame
     compact: DataFrame
 
-    @property
+    # made once, when first asked for: what a top-k index stores besides
+
+    @cached_property
     def scored(self) -> DataFrame:
-        return self.edges.join(self.ids.select(F.col("sid").alias("dst"), "score"), "dst").select("src", "dst", "score")
+        return checkpoint(self.edges.join(self.ids.select(F.col("sid").alias("dst"), "score"), "dst").select("src", "dst", "score"))
 
     @property
     def two(self) -> DataFrame:
         return graph.expand(self.edges, 2)
 
-    @property
+    @cached_property
     def bounds(self) -> DataFrame:
-        return graph.wand_bound(self.edges, self.ids.select("sid", "score"))
+        return checkpoint(self.scored.groupBy("src").agg(F.max("score").alias("bound")))
 
 
 def build(attrs: DataFrame, raw: DataFrame) -> Built:

@@ -126,7 +126,8 @@ def universe(spark, d):
 
 @query
 def wand_bound(spark, d):
-    return built(spark, d).bounds
+    b = built(spark, d)
+    return graph.wand_bound(b.edges, b.ids.select("sid", "score"))
 
 
 @query
