@@ -6,12 +6,11 @@ r differing bits give r linear equations over r+1 unknowns, which a nonzero v
 solves, so that pair agrees on all that table v keeps: no pair within the radius is
 missed, whatever the data.
 
-Within a bucket the members can differ only in bits the table drops. A bucket of two
-distinct fingerprints is compared directly. In a larger one each member names itself
-and each of its neighbours at one dropped bit; two members within two bits have such
-a point in common, and members with a common point are within two bits. So linking
-the members of each point in a star gives exactly the components of all pairs, with
-rows linear in the bucket, for a radius of 2 or less.
+A bucket of two distinct fingerprints is compared directly. The members of larger ones
+each name themselves and their neighbours at one bit, 65 points in all; two members
+within two bits have such a point in common, and members with a common point are
+within two bits. So linking the members of each point in a star gives exactly the
+components of all pairs, with rows linear in the members, for a radius of 2 or less.
 
 Rows with the same fingerprint fold into one representative before any table is
 built. Null texts count as empty; a text without words has fingerprint zero and is
@@ -89,16 +88,14 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     buckets = placed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
     near = F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= radius
     two = buckets.where(F.col("n") == 2).where(near).select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-    flips = [F.array(*(_long(1 << i) for i in range(BITS) if not m >> i & 1)) for m in kept]
-    around = F.element_at(F.array(*flips), F.col("t") + 1)
-    crowded = placed.join(buckets.where(F.col("n") > 2).select("t", "key"), ["t", "key"])
+    # a fingerprint crowded in several tables names its points once: both ends of a missed pair are crowded
+    crowded = placed.join(buckets.where(F.col("n") > 2).select("t", "key"), ["t", "key"]).select("fp").distinct()
+    bits = F.array(*(_long(1 << i) for i in range(BITS)))
     if radius == 2:
-        points = F.concat(F.array("fp"), F.transform(around, lambda b: F.col("fp").bitwiseXOR(b)))
-        named = crowded.select("fp", F.explode(points).alias("point"))
-    else:  # one bit apart: each pair has the point with that bit cleared in common, and nothing else has
-        points = F.transform(around, lambda b: F.struct(F.col("fp").bitwiseAND(F.bitwise_not(b)).alias("at"), b.alias("bit")))
-        named = crowded.select("fp", F.explode(points).alias("point"))
-    named = named.distinct()
+        points = F.concat(F.array("fp"), F.transform(bits, lambda b: F.col("fp").bitwiseXOR(b)))
+    else:  # one bit apart: the pair has the point with that bit cleared in common, and nothing else has
+        points = F.transform(bits, lambda b: F.struct(F.col("fp").bitwiseAND(F.bitwise_not(b)).alias("at"), b.alias("bit")))
+    named = crowded.select("fp", F.explode(points).alias("point"))
     stars = named.groupBy("point").agg(F.min("fp").alias("u"), F.max("fp").alias("top")).where("u < top").drop("top")
     many = named.join(stars, "point").where("fp > u").select("u", F.col("fp").alias("v"))
     return two.union(many).distinct()
