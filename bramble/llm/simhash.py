@@ -30,6 +30,10 @@ from pyspark.sql import functions as F
 from bramble.llm.common import checkpoint, content_keyed, text_of
 
 SHINGLE, RADIUS, BITS, SEED = 3, 2, 64, 42
+#: The increment and the multipliers of the SplitMix64 finalizer.
+_STEP, _MIX = 0x9E3779B97F4A7C15, ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
+#: For dropping near copies: sketches, and the most fingerprint bits in which a copy differs from what stays.
+SKETCHES, MOST_BITS = 8, 11
 #: Shingles whose bits are unpacked at once: 64 bytes each.
 CHUNK = 1 << 16
 
@@ -55,17 +59,35 @@ def fingerprint(text: str, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, keys: list[str], width: int = SHINGLE) -> DataFrame:
-    """The key columns and the fingerprint, as a signed long, of every row."""
+def sketches(text: str, n: int) -> list[int]:
+    """n further unsigned fingerprints, each with its own hash, of the set of words: a changed word moves them less than it moves one of shingles."""
+    import xxhash
+
+    words = list(set(text.encode("utf-8", "surrogatepass").lower().split()))
+    ones = np.zeros((n, BITS), dtype=np.int64)
+    for at in range(0, len(words), CHUNK):
+        first = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words[at : at + CHUNK]], dtype=np.uint64)
+        for k in range(n):
+            h = first + np.uint64(_STEP * (k + 1) % (1 << 64))
+            for shift, by in _MIX:
+                h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
+            ones[k] += np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(2 * x > len(words)).tobytes(), "big") for x in ones]
+
+
+def fingerprints(docs: DataFrame, keys: list[str], width: int = SHINGLE, more: int = 0) -> DataFrame:
+    """The key columns, the fingerprint `fp`, as a signed long, and `more` sketches of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([fingerprint(t, width) for t in b.column(len(keys)).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(found.view(np.int64))], [*keys, "fp"])
+            texts = b.column(len(keys)).to_pylist()
+            found = np.array([fingerprint(t, width) for t in texts], dtype=np.uint64)
+            others = np.array([sketches(t, more) for t in texts], dtype=np.uint64).reshape(len(texts), more)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(found.view(np.int64)), pa.array(list(others.view(np.int64)), pa.list_(pa.int64()))], [*keys, "fp", "sketches"])
 
     rows = docs.select(*keys, text_of().alias("text"))
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.mapInArrow(run, f"{kinds}, fp long")
+    return rows.mapInArrow(run, f"{kinds}, fp long, sketches array<bigint>")
 
 
 def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -125,12 +147,34 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, keys: list[str], radius: int = RADIUS) -> DataFrame:
     """Of every row: its keys, `fp`, and `first`, the smallest struct of keys in its component."""
-    rows = checkpoint(fingerprints(docs, keys))
+    return grouped(checkpoint(fingerprints(docs, keys).drop("sketches")), keys, radius)
+
+
+def grouped(rows: DataFrame, keys: list[str], radius: int = RADIUS) -> DataFrame:
+    """The rows with `first`, by the components of their fp."""
     folded = checkpoint(rows.groupBy("fp").agg(F.min(_ranked(keys)).alias("first")))
-    joined = components(links(folded.select("fp"), radius))
+    return rows.join(firsts(folded, components(links(folded.select("fp"), radius))), "fp")
+
+
+def firsts(folded: DataFrame, joined: DataFrame) -> DataFrame:
+    """fp and the smallest first of its component."""
     rooted = folded.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    return rows.join(rooted.select("fp", "root").join(firsts, "root").select("fp", "first"), "fp").select(*keys, "fp", "first")
+    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    return rooted.select("fp", "root").join(least, "root").select("fp", "first")
+
+
+def similar(rows: DataFrame, radius: int = RADIUS, most: int = MOST_BITS) -> DataFrame:
+    """Pairs (u, v), u < v, of distinct fp whose sketches share a bucket of any covering table and which differ in `most` bits or fewer.
+
+    Each member of a bucket is compared with its smallest one only, so rows are linear
+    in the members however large the bucket.
+    """
+    kept = F.array(*map(_long, masks(radius)))
+    keys = F.flatten(F.transform("sketches", lambda x, k: F.transform(kept, lambda m, t: F.struct((k * 100 + t).alias("c"), x.bitwiseAND(m).alias("key")))))
+    placed = rows.select("fp", F.explode(keys).alias("b")).select("fp", "b.c", "b.key")
+    buckets = placed.groupBy("c", "key").agg(F.min("fp").alias("u"), F.max("fp").alias("top")).where("u < top").drop("top")
+    pairs = placed.join(buckets, ["c", "key"]).where(F.col("fp") > F.col("u"))
+    return pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("u"))) <= most).select("u", F.col("fp").alias("v")).distinct()
 
 
 def _ranked(keys: list[str]) -> Column:
@@ -138,13 +182,27 @@ def _ranked(keys: list[str]) -> Column:
     return F.struct(F.col(keys[0]).isNull().alias("none"), *(F.col(k) for k in keys))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each component of near duplicates: the one of the smallest doc_id, then of the smallest content hash.
+def drop_near_duplicates(docs: DataFrame, n: int = SKETCHES, most: int = MOST_BITS) -> DataFrame:
+    """One row of each group of near duplicates: the one of the smallest doc_id, then of the smallest content hash.
 
-    All columns come back as they were. Rows equal in every column count as one.
+    First the components of fingerprints within the radius each leave one row. What
+    differs in a few words has fingerprints some bits further apart, for which covering
+    tables of one fingerprint grow too many; so the rows left are placed in the tables
+    of n sketches, and those that meet and differ in `most` fingerprint bits or fewer
+    are joined too. All columns come back as they were. Rows equal in every column
+    count as one.
     """
-    keyed = content_keyed(docs)
-    found = near_duplicates(keyed.select("id", "h1", "h2", "text"), ["id", "h1", "h2"])
+    keyed, keys = content_keyed(docs), ["id", "h1", "h2"]
+    rows = checkpoint(fingerprints(keyed.select(*keys, "text"), keys, more=n))
+    left = _stay(grouped(rows, keys))
+    if n:
+        left = checkpoint(left)
+        folded = left.select("fp", _ranked(keys).alias("first"))  # one row of each fingerprint is left
+        left = _stay(left.join(firsts(folded, components(similar(left, most=most))), "fp"))
+    return keyed.join(left.select("h1", "h2"), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("row.*")
+
+
+def _stay(rows: DataFrame) -> DataFrame:
+    """The rows that are the first of their component; of equal rows one."""
     mine = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h1") == F.col("first.h1")) & (F.col("h2") == F.col("first.h2"))
-    stay = found.where(mine).select("h1", "h2")
-    return keyed.join(stay, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("row.*")
+    return rows.where(mine).drop("first").dropDuplicates(["h1", "h2"])

@@ -107,6 +107,32 @@ def test_whole_operator(spark):
         assert r["first"].doc_id == least[roots[fp]]
 
 
+def test_copies_with_changed_words_go(spark):
+    rnd = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for g in range(40):
+        words = rnd.choices(vocabulary, k=200)
+        for c in range(4):
+            mine = list(words)
+            for _ in range(c):
+                mine[rnd.randrange(200)] = rnd.choice(vocabulary)
+            rows.append((100 * g + c, " ".join(mine), "en", "s", 0))
+    kept = [r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert {i for i in kept if i % 100 == 0} == {100 * g for g in range(40)}
+    assert len(kept) <= 43
+
+
+def test_many_near_copies(spark):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(words[:k] + [f"x{i}"] + words[k:]), "en", "s", 0) for i in range(400) for k in [rnd.randrange(300)]]
+    rows += [(1000 + i, " ".join(f"{a}{i}" for a in words), "en", "s", 0) for i in range(100)]
+    kept = [r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert {i for i in kept if i >= 1000} == {1000 + i for i in range(100)}
+    assert sum(i < 1000 for i in kept) <= 3
+
+
 def test_one_stays(spark):
     rows = [(2, "a b c d", "en", "s", 1), (1, "a b c d", "de", "s", 1), (1, "a b c d", "de", "s", 1), (None, "a b c d", None, None, None), (None, "x y z v", None, None, None), (9, "", None, "t", 0), (8, None, None, "t", 0)]
     docs = spark.createDataFrame([(*r, k, 1.0) for k, r in enumerate(rows)], SCHEMA + ", h1 int, fp double")
