@@ -99,3 +99,22 @@ def fill_missing(nodes: DataFrame, attrs: DataFrame, seed: int = 42) -> DataFram
     wanting = numbered(known.where("filled").select("id"), "_turn", F.col("id")).withColumn("_place", F.col("_turn") % n)
     given = wanting.join(donors, "_place").select("id", F.col("_name").alias("name"), F.lit(True).alias("filled"))
     return known.where("not filled").select("id", "name", "filled").union(given)
+
+
+def truth_by_number(queries: DataFrame, ids: DataFrame, k: int | None = None) -> DataFrame:
+    """queries(qid, truth) with truth's user ids as sorted node numbers, or as the k best-scored; ids that have no node are dropped."""
+    each = queries.select("qid", F.explode("truth").alias("uid")).join(ids.select("uid", "sid", "score"), "uid")
+    best = F.sort_array(F.collect_list(F.struct("score", "sid")), asc=False)
+    if k is not None:
+        found = each.groupBy("qid").agg(F.transform(F.slice(best, 1, k), lambda x: x["sid"]).alias("truth"))
+    else:
+        found = each.groupBy("qid").agg(F.array_sort(F.collect_list("sid")).alias("truth"))
+    return queries.drop("truth").join(found, "qid", "left").withColumn("truth", F.coalesce("truth", F.array().cast("array<bigint>")))
+
+
+def attribute_cdf(counts: DataFrame, cumulative: bool = True) -> DataFrame:
+    """counts(attribute, n) in the order of n, then attribute: each one's share, or the share up to it."""
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    if not cumulative:
+        return counts.select("attribute", "n", (F.col("n") / total).alias("share"))
+    return running_sum(counts, "before", F.col("n"), F.col("n"), F.col("attribute")).select("attribute", "n", ((F.col("before") + F.col("n")) / total).alias("share"))

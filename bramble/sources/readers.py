@@ -5,6 +5,9 @@ A compressed text file is read by one task; rewrite large ones to Parquet once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +68,25 @@ def queries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("qid long, uid long, prefix string, truth array<bigint>").json(path)
 
 
+def query_files(spark: SparkSession, path: str) -> DataFrame:
+    """uid, prefix, truth of query files in lines: a flag, a user, the number of queries; then of each query its prefix and, if the flag is 1, the number of results and the results. Each file is parsed by one task."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                lines, out = iter(text.split("\n")), []
+                for flag in lines:
+                    if not flag.strip():
+                        continue
+                    uid, n = int(next(lines)), int(next(lines))
+                    for _ in range(n):
+                        prefix = next(lines)
+                        out.append({"uid": uid, "prefix": prefix, "truth": [int(next(lines)) for _ in range(int(next(lines)))] if flag.strip() == "1" else None})
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("uid", pa.int64()), ("prefix", pa.string()), ("truth", pa.list_(pa.int64()))]))
+
+    return spark.read.text(path, wholetext=True).mapInArrow(parse, "uid long, prefix string, truth array<bigint>")
+
+
 # Raw datasets -> (edges, attributes)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def dictionary(ids: DataFrame, path: str) -> None:
@@ -18,5 +19,13 @@ def queries(rows: DataFrame, path: str, verification: bool = True) -> None:
     rows.select("qid", "uid", "prefix", *(["truth"] if verification else [])).write.mode("overwrite").json(path)
 
 
+def query_files(rows: DataFrame, path: str, verification: bool = True) -> None:
+    """Query files in lines, a user's queries together: flag, user, number of queries; each prefix, and with verification the number of results and the results."""
+    told = F.array_join(F.concat(F.array("prefix", F.size("truth").cast("string")), F.col("truth").cast("array<string>")), "\n") if verification else F.col("prefix")
+    users = rows.select("uid", F.struct("prefix", told.alias("told")).alias("q")).groupBy("uid").agg(F.array_sort(F.collect_list("q")).alias("q"))
+    head = [F.lit("1" if verification else "0"), F.col("uid").cast("string"), F.size("q").cast("string")]
+    users.select(F.array_join(F.concat(F.array(*head), F.transform("q", lambda x: x["told"])), "\n").alias("value")).write.mode("overwrite").text(path)
+
+
 def report(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)

@@ -219,3 +219,35 @@ def test_samples(spark):
     assert modal.count(1) >= 20
     dealt = workload.user_buckets(degrees.where("deg > 0"), 4)
     assert {r.bucket: r.n for r in workload.users_by_bucket(dealt, 5).groupBy("bucket").agg(F.count("*").alias("n")).collect()} == dict.fromkeys(range(4), 5)
+
+
+def test_schemes_by_name(spark, world):
+    from bramble.plans import schemes
+
+    b, _, _ = world
+    uids = [r.uid for r in b.ids.collect()]
+    asked = spark.createDataFrame([(10 * u + k, u, p) for u in uids for k, p in enumerate(["a", "ba", "", "zz"])], "qid long, uid long, prefix string")
+    friend = pairs(schemes.run(b, asked, "asindex"))
+    fof = pairs(schemes.run(b, asked, "hopping"))
+    best = pairs(schemes.run(b, asked, "topk-hopping", 3))
+    assert friend and fof and best
+    for name, want in (("baseline-asindex", friend), ("fast-baseline-asindex", friend), ("baseline-hopping", fof), ("fast-baseline-hopping", fof)):
+        assert pairs(schemes.run(b, asked, name)) == want
+    for name in ("topk-hopping-wand", "topk-hopping-rmq", "topk-hopping-rmq-wand"):
+        assert pairs(schemes.run(b, asked, name, 3, threshold=5)) == best
+    for args, error in ((("coverage",), NotImplementedError), (("n2asarray",), ValueError), (("hopping", 5), ValueError), (("topk-hopping",), ValueError)):
+        with pytest.raises(error):
+            schemes.run(b, asked, *args)
+
+
+def test_truth(spark):
+    nodes = spark.createDataFrame([(7, 2, 10), (8, 0, 30), (9, 1, 20)], "uid long, sid long, score long")
+    asked = spark.createDataFrame([(1, [7, 8, 9, 99]), (2, [])], "qid long, truth array<bigint>")
+    assert {r.qid: r.truth for r in workload.truth_by_number(asked, nodes).collect()} == {1: [0, 1, 2], 2: []}
+    assert {r.qid: r.truth for r in workload.truth_by_number(asked, nodes, 2).collect()} == {1: [0, 1], 2: []}
+
+
+def test_attribute_cdf(spark):
+    counts = spark.createDataFrame([("a", 3), ("b", 1), ("c", 1)], "attribute string, n long")
+    assert [(r.attribute, r.share) for r in workload.attribute_cdf(counts).orderBy("share").collect()] == [("b", 0.2), ("c", 0.4), ("a", 1.0)]
+    assert {r.attribute: r.share for r in workload.attribute_cdf(counts, cumulative=False).collect()} == {"a": 0.6, "b": 0.2, "c": 0.2}

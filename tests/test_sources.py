@@ -55,3 +55,11 @@ def test_results_and_queries(spark, tmp_path):
     assert rows(readers.queries(spark, str(tmp_path / "q"))) == rows(q)
     writers.dictionary(spark.createDataFrame([(0, "a"), (1, "b")], "sid long, name string"), str(tmp_path / "dict"))
     assert spark.read.parquet(str(tmp_path / "dict")).count() == 2
+
+
+def test_query_files(spark, tmp_path):
+    asked = [(5, "a", [3, 4]), (5, "ab", []), (6, "", [9])]
+    df = spark.createDataFrame(asked, "uid long, prefix string, truth array<bigint>")
+    for flag in (True, False):
+        writers.query_files(df, str(tmp_path / f"q{flag}"), flag)
+        assert rows(readers.query_files(spark, str(tmp_path / f"q{flag}"))) == [(u, p, t if flag else None) for u, p, t in asked]
