@@ -14,7 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bramble.llm.common import text_of
@@ -61,15 +61,16 @@ def suffix_sums(counts: DataFrame) -> DataFrame:
 
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """context_limit, docs_cut and tokens_kept of any limits, those between lengths too."""
-    asked = sums.sparkSession.createDataFrame([(int(x),) for x in limits], "context_limit long")
-    above = sums.join(F.broadcast(asked), F.col("n_tokens") > F.col("context_limit")).groupBy("context_limit").agg(F.max("docs_from").alias("docs_cut"), F.max("tokens_from").alias("over"))
-    total = sums.agg(F.max("all_tokens").alias("all_tokens"))
-    rows = asked.join(above, "context_limit", "left").join(F.broadcast(total))
-    return rows.select("context_limit", F.coalesce("docs_cut", F.lit(0)).alias("docs_cut"), F.coalesce(F.col("all_tokens") - F.col("over") + F.col("docs_cut") * F.col("context_limit"), "all_tokens", F.lit(0)).alias("tokens_kept"))
+    """context_limit, docs_cut and tokens_kept of any limits, those between lengths too; one pass over the sums."""
+    def over(name: str, limit: int) -> Column:
+        return F.coalesce(F.max(F.when(F.col("n_tokens") > limit, F.col(name))), F.lit(0))
+
+    total = F.coalesce(F.max("all_tokens"), F.lit(0))
+    rows = [F.struct(F.lit(int(x)).cast("long").alias("context_limit"), over("docs_from", x).alias("docs_cut"), (total - over("tokens_from", x) + over("docs_from", x) * F.lit(int(x)).cast("long")).alias("tokens_kept")) for x in limits]
+    return sums.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
     """share and n_tokens: the least length that at least that share of documents doesn't exceed."""
-    asked = sums.sparkSession.createDataFrame([(float(x),) for x in shares], "share double")
-    return sums.join(F.broadcast(asked), F.col("share_up_to") >= F.col("share")).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
+    rows = [F.struct(F.lit(float(x)).alias("share"), F.min(F.when(F.col("share_up_to") >= x, F.col("n_tokens"))).alias("n_tokens")) for x in shares]
+    return sums.agg(F.array(*rows).alias("r")).select(F.inline("r"))
