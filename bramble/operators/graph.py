@@ -78,12 +78,15 @@ def expansion_sizes(edges: DataFrame, k: int) -> DataFrame:
 
 def dataset_stats(edges: DataFrame, names: DataFrame) -> DataFrame:
     """One row: nodes, edges, pairs within two steps, mean degrees, characters of names."""
-    v = names.agg(F.count("*").alias("vertices"), F.sum(F.length("name")).alias("name_chars"))
-    e = edges.agg(F.count("*").alias("edges1"), F.countDistinct("src").alias("sources"))
-    two = expansion_sizes(edges, 2).agg(F.sum("n").alias("edges2"))
-    one = F.lit(1).alias("one")
-    rows = v.select("*", one).join(e.select("*", one), "one").join(two.select("*", one), "one")
-    return rows.select("vertices", "name_chars", "edges1", "edges2", (F.col("edges1") / F.col("sources")).alias("avg_deg1"), (F.col("edges2") / F.col("sources")).alias("avg_deg2"))
+    zero = F.lit(0).cast("long")
+    parts = [
+        names.agg(F.count("*"), F.sum(F.length("name")), zero, zero, zero),
+        out_degree(edges).agg(zero, zero, F.sum("deg"), F.count("*"), zero),
+        expansion_sizes(edges, 2).agg(zero, zero, zero, zero, F.sum("n")),
+    ]
+    rows = parts[0].union(parts[1]).union(parts[2]).toDF("vertices", "name_chars", "edges1", "sources", "edges2")
+    sums = rows.agg(*(F.sum(c).alias(c) for c in rows.columns))
+    return sums.select("vertices", "name_chars", "edges1", "edges2", (F.col("edges1") / F.col("sources")).alias("avg_deg1"), (F.col("edges2") / F.col("sources")).alias("avg_deg2"))
 
 
 def drop_repeats(rows: DataFrame, key: str, value: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from bramble.functions.postings import elias_fano_bits, fixed_bytes, interpolative_bits, varint_bytes
@@ -66,8 +66,11 @@ def block_max(edges: DataFrame, size: int = 128) -> DataFrame:
 
 def elias_fano_size(edges: DataFrame) -> DataFrame:
     """src, n, bits of each list by the Elias-Fano formula over the graph's universe."""
-    lists = out_degree(edges).withColumn("one", F.lit(1)).join(F.broadcast(universe(edges).withColumn("one", F.lit(1))), "one")
-    return lists.select("src", F.col("deg").alias("n"), elias_fano_bits(F.col("deg"), F.col("universe")).alias("bits"))
+    return out_degree(edges).select("src", F.col("deg").alias("n"), elias_fano_bits(F.col("deg"), _universe(edges)).alias("bits"))
+
+
+def _universe(edges: DataFrame) -> Column:
+    return F.lit(universe(edges).first()[0] or 0).cast("long")
 
 
 def varint_size(edges: DataFrame) -> DataFrame:
@@ -75,12 +78,11 @@ def varint_size(edges: DataFrame) -> DataFrame:
     return gap_encode(edges).groupBy("src").agg(F.count("*").alias("n"), F.sum(varint_bytes(F.col("gap"))).alias("bytes"))
 
 
-def index_stats(edges: DataFrame, universe_size: int | None = None) -> DataFrame:
+def index_stats(edges: DataFrame) -> DataFrame:
     """One row a codec: lists, elements, estimated bytes, and bits for each element and list."""
-    base = gap_encode(edges).groupBy("src").agg(F.count("*").alias("n"), F.sum(varint_bytes(F.col("gap"))).alias("varint"), (F.sum("gap") + F.count("*")).alias("span"))
-    lists = base.withColumn("one", F.lit(1)).join(F.broadcast(universe(edges).withColumn("one", F.lit(1))), "one")
+    lists = gap_encode(edges).groupBy("src").agg(F.count("*").alias("n"), F.sum(varint_bytes(F.col("gap"))).alias("varint"), (F.sum("gap") + F.count("*")).alias("span"))
     bits = {
-        "ef": elias_fano_bits(F.col("n"), F.col("universe")),
+        "ef": elias_fano_bits(F.col("n"), _universe(edges)),
         "block_varint": 8 * F.col("varint"),
         "block_interpolative": interpolative_bits(F.col("n"), F.col("span")),
         "fixed": 8 * fixed_bytes(F.col("n")),
