@@ -107,7 +107,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     kept = masks(radius)
     tables = F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(_long(m)).alias("key")) for k, m in enumerate(kept)))
     placed = distinct.select("fp", F.explode(tables).alias("b")).select("fp", "b.t", "b.key")
-    buckets = placed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
+    buckets = checkpoint(placed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"))
     near = F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= radius
     two = buckets.where(F.col("n") == 2).where(near).select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     # a fingerprint crowded in several tables names its points once: both ends of a missed pair are crowded
@@ -117,7 +117,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         points = F.concat(F.array("fp"), F.transform(bits, lambda b: F.col("fp").bitwiseXOR(b)))
     else:  # one bit apart: the pair has the point with that bit cleared in common, and nothing else has
         points = F.transform(bits, lambda b: F.struct(F.col("fp").bitwiseAND(F.bitwise_not(b)).alias("at"), b.alias("bit")))
-    named = crowded.select("fp", F.explode(points).alias("point"))
+    named = checkpoint(crowded.select("fp", F.explode(points).alias("point")))
     stars = named.groupBy("point").agg(F.min("fp").alias("u"), F.max("fp").alias("top")).where("u < top").drop("top")
     many = named.join(stars, "point").where("fp > u").select("u", F.col("fp").alias("v"))
     return two.union(many).distinct()
