@@ -159,7 +159,7 @@ def grouped(rows: DataFrame, keys: list[str], radius: int = RADIUS) -> DataFrame
 def firsts(folded: DataFrame, joined: DataFrame) -> DataFrame:
     """fp and the smallest first of its component."""
     rooted = folded.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    least = checkpoint(rooted.groupBy("root").agg(F.min("first").alias("first")))  # so that the join has exchanges of its own, which can be split
     return rooted.select("fp", "root").join(least, "root").select("fp", "first")
 
 
