@@ -34,6 +34,8 @@ SHINGLE, RADIUS, BITS, SEED = 3, 2, 64, 42
 _STEP, _MIX = 0x9E3779B97F4A7C15, ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
 #: For dropping near copies: sketches, and the most fingerprint bits in which a copy differs from what stays.
 SKETCHES, MOST_BITS = 8, 11
+#: Members of a bucket that are compared in one row.
+CROWD = 8192
 #: Shingles whose bits are unpacked at once: 64 bytes each.
 CHUNK = 1 << 16
 
@@ -163,18 +165,76 @@ def firsts(folded: DataFrame, joined: DataFrame) -> DataFrame:
     return rooted.select("fp", "root").join(least, "root").select("fp", "first")
 
 
-def similar(rows: DataFrame, radius: int = RADIUS, most: int = MOST_BITS) -> DataFrame:
-    """Pairs (u, v), u < v, of distinct fp whose sketches share a bucket of any covering table and which differ in `most` bits or fewer.
+def bridges(fp: np.ndarray, node: np.ndarray, cut: int, most: int) -> list[tuple[int, int]]:
+    """Pairs of nodes that join exactly the components of all pairs of members that differ in `most` bits or fewer.
 
-    Each member of a bucket is compared with its smallest one only, so rows are linear
-    in the members however large the bucket.
+    Members of one node count as joined. Where some lie from `cut` on, the members before
+    and those from there count as joined among themselves as far as such pairs join them,
+    and only pairs from one side to the other come back.
+    """
+    group, found, n = np.unique(node, return_inverse=True)[1], [], len(fp)
+
+    def meet(one: slice, other: slice, said: bool) -> None:
+        for i in range(*one.indices(n)):
+            mine = group[i]
+            if (group[one] == mine).all() and (group[other] == mine).all():
+                return
+            hit = np.flatnonzero(np.bitwise_count(fp[other] ^ fp[i]) <= most)
+            kinds, at = np.unique(group[other][hit], return_index=True)
+            fresh = kinds != mine
+            if fresh.any():
+                if said:
+                    found.extend((int(node[i]), int(x)) for x in node[other][hit[at[fresh]]])
+                group[np.isin(group, kinds[fresh])] = mine
+
+    if cut < n:
+        meet(slice(0, cut), slice(0, cut), False)
+        meet(slice(cut, n), slice(cut, n), False)
+        meet(slice(0, cut), slice(cut, n), True)
+    else:
+        meet(slice(0, n), slice(0, n), True)
+    return found
+
+
+def similar(rows: DataFrame, radius: int = RADIUS, most: int = MOST_BITS, crowd: int = CROWD) -> DataFrame:
+    """Pairs (u, v), u < v, of nodes that join exactly the components of all pairs of rows(fp, node, sketches) whose sketches share a bucket of any covering table and whose fp differ in `most` bits or fewer.
+
+    Every member of a bucket is compared with every other unless they are joined already,
+    but a spanning forest comes back, so rows are linear in the members. Buckets of over
+    `crowd` members are dealt into parts, and each pair of parts is a row of its own.
+    Buckets of the same members, by 128 bits, count once.
     """
     kept = F.array(*map(_long, masks(radius)))
     keys = F.flatten(F.transform("sketches", lambda x, k: F.transform(kept, lambda m, t: F.struct((k * 100 + t).alias("c"), x.bitwiseAND(m).alias("key")))))
-    placed = rows.select("fp", F.explode(keys).alias("b")).select("fp", "b.c", "b.key")
-    buckets = placed.groupBy("c", "key").agg(F.min("fp").alias("u"), F.max("fp").alias("top")).where("u < top").drop("top")
-    pairs = placed.join(buckets, ["c", "key"]).where(F.col("fp") > F.col("u"))
-    return pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("u"))) <= most).select("u", F.col("fp").alias("v")).distinct()
+    placed = rows.select("fp", "node", F.explode(keys).alias("b")).select("fp", "node", "b.c", "b.key")
+    sums = [F.sum(F.xxhash64(F.lit(k), "fp", "node").cast("decimal(20,0)")).alias(f"s{k}") for k in (0, 1)]
+    ends = [f(F.struct("node", "fp")).alias(name) for f, name in ((F.min, "lo"), (F.max, "hi"))]
+    buckets = placed.groupBy("c", "key").agg(F.count("*").alias("n"), *sums, *ends).where("lo.node < hi.node")
+    buckets = checkpoint(buckets.groupBy("n", "s0", "s1").agg(F.min(F.struct("c", "key", "lo", "hi")).alias("b")).select("n", "b.*"))
+    near = F.bit_count(F.col("lo.fp").bitwiseXOR(F.col("hi.fp"))) <= most
+    two = buckets.where("n = 2").where(near).select(F.col("lo.node").alias("u"), F.col("hi.node").alias("v"))
+    parts = F.ceil(F.col("n") / crowd).cast("int")
+    shared = placed.join(buckets.where("n > 2").select("c", "key", parts.alias("parts")), ["c", "key"])
+    shared = checkpoint(shared.withColumn("part", F.pmod(F.xxhash64("fp", "node"), F.col("parts")).cast("int")))  # so that the join has exchanges of its own, which can be split
+    listed = shared.groupBy("c", "key", "parts", "part").agg(F.collect_list(F.struct("fp", "node")).alias("m"))
+    small = listed.where("parts = 1").select("m", F.size("m").alias("cut"))
+    large = checkpoint(listed.where("parts > 1"))
+    other = large.select("c", "key", F.col("part").alias("part2"), F.col("m").alias("m2"))
+    crossed = large.join(other, ["c", "key"]).where("part <= part2").repartition("c", "key", "part", "part2")
+    crossed = crossed.select(F.when(F.col("part") == F.col("part2"), F.col("m")).otherwise(F.concat("m", "m2")).alias("m"), F.size("m").alias("cut"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, cuts, found = b.column(0), b.column(2).to_pylist(), []
+            fps, nodes = (b.column(k).values.to_numpy() for k in (0, 1))
+            fps = fps.view(np.uint64)  # of a negative number, bits are counted in its absolute value
+            at = ends.offsets.to_pylist()
+            for k, cut in enumerate(cuts):
+                found += bridges(fps[at[k] : at[k + 1]], nodes[at[k] : at[k + 1]], cut, most)
+            yield pa.RecordBatch.from_arrays([pa.array([f(x) for x in found], pa.int64()) for f in (min, max)], ["u", "v"])
+
+    many = small.union(crossed).select("m.fp", "m.node", "cut").mapInArrow(run, "u long, v long")
+    return two.union(many).distinct()
 
 
 def _ranked(keys: list[str]) -> Column:
@@ -188,8 +248,8 @@ def drop_near_duplicates(docs: DataFrame, n: int = SKETCHES, most: int = MOST_BI
     First the components of fingerprints within the radius each leave one row. What
     differs in a few words has fingerprints some bits further apart, for which covering
     tables of one fingerprint grow too many; so the rows left are placed in the tables
-    of n sketches, and those that meet and differ in `most` fingerprint bits or fewer
-    are joined too. All columns come back as they were. Rows equal in every column
+    of n sketches, and all pairs that meet and differ in `most` fingerprint bits or
+    fewer are joined too. All columns come back as they were. Rows equal in every column
     count as one.
     """
     keyed, keys = content_keyed(docs), ["id", "h1", "h2"]
@@ -198,7 +258,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = SKETCHES, most: int = MOST_BI
     if n:
         left = checkpoint(left)
         folded = left.select("fp", _ranked(keys).alias("first"))  # one row of each fingerprint is left
-        left = _stay(left.join(firsts(folded, components(similar(left, most=most))), "fp"))
+        left = _stay(left.join(firsts(folded, components(similar(left.withColumn("node", F.col("fp")), most=most))), "fp"))
     return keyed.join(left.select("h1", "h2"), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("row.*")
 
 

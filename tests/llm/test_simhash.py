@@ -133,6 +133,41 @@ def test_many_near_copies(spark):
     assert sum(i < 1000 for i in kept) <= 3
 
 
+@pytest.mark.parametrize("crowd", [7, 8192])
+def test_all_pairs_of_a_bucket_are_compared(spark, crowd):
+    rnd = random.Random(11)
+    points = [rnd.getrandbits(64) for _ in range(40)]
+    points += [p ^ sum(1 << i for i in rnd.sample(range(64), rnd.randint(3, 13))) for p in points]
+    centre = rnd.getrandbits(64)
+    points += [centre ^ sum(1 << i for i in rnd.sample(range(64), rnd.randint(0, 9))) for _ in range(30)]
+    rows = [(signed(p), signed(p), [5, 9]) for p in points]
+    edges = simhash.similar(spark.createDataFrame(rows, "fp long, node long, sketches array<bigint>"), crowd=crowd)
+    roots = {r.node: r.root for r in simhash.components(edges).collect()}
+    groups = {}
+    for p, k in plain_components(sorted(set(points)), 11).items():
+        groups.setdefault(k, set()).add(signed(p))
+    assert len(groups) > 5
+    for g in groups.values():
+        assert {roots.get(p, p) for p in g} == {min(g)}
+
+
+def test_long_texts_over_a_small_vocabulary(spark):
+    rnd = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(1000)]
+    rows = []
+    for g in range(40):
+        words = rnd.choices(vocabulary, k=10_000)
+        rows.append((2 * g, " ".join(words), "en", "s", 0))
+        for i in rnd.sample(range(10_000), 150):
+            words[i] = rnd.choice(vocabulary)
+        rows.append((2 * g + 1, " ".join(words), "en", "s", 0))
+    prints = [simhash.fingerprint(r[1]) for r in rows]
+    near = {g for g in range(40) if (prints[2 * g] ^ prints[2 * g + 1]).bit_count() <= 11}
+    assert len(near) > 30
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert kept == {i for i in range(80) if i % 2 == 0 or i // 2 not in near}
+
+
 def test_one_stays(spark):
     rows = [(2, "a b c d", "en", "s", 1), (1, "a b c d", "de", "s", 1), (1, "a b c d", "de", "s", 1), (None, "a b c d", None, None, None), (None, "x y z v", None, None, None), (9, "", None, "t", 0), (8, None, None, "t", 0)]
     docs = spark.createDataFrame([(*r, k, 1.0) for k, r in enumerate(rows)], SCHEMA + ", h1 int, fp double")
