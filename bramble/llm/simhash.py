@@ -158,9 +158,13 @@ def grouped(rows: DataFrame, keys: list[str], radius: int = RADIUS) -> DataFrame
     return rows.join(firsts(folded, components(links(folded.select("fp"), radius))), "fp")
 
 
+def _rooted(folded: DataFrame, joined: DataFrame) -> DataFrame:
+    return folded.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def firsts(folded: DataFrame, joined: DataFrame) -> DataFrame:
     """fp and the smallest first of its component."""
-    rooted = folded.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(folded, joined)
     least = checkpoint(rooted.groupBy("root").agg(F.min("first").alias("first")))  # so that the join has exchanges of its own, which can be split
     return rooted.select("fp", "root").join(least, "root").select("fp", "first")
 
@@ -245,24 +249,20 @@ def _ranked(keys: list[str]) -> Column:
 def drop_near_duplicates(docs: DataFrame, n: int = SKETCHES, most: int = MOST_BITS) -> DataFrame:
     """One row of each group of near duplicates: the one of the smallest doc_id, then of the smallest content hash.
 
-    First the components of fingerprints within the radius each leave one row. What
-    differs in a few words has fingerprints some bits further apart, for which covering
-    tables of one fingerprint grow too many; so the rows left are placed in the tables
-    of n sketches, and all pairs that meet and differ in `most` fingerprint bits or
-    fewer are joined too. All columns come back as they were. Rows equal in every column
+    First come the components of fingerprints within the radius. What differs in a few
+    words has fingerprints some bits further apart, for which covering tables of one
+    fingerprint grow too many; so all distinct texts are placed in the tables of n
+    sketches, and the components of all pairs that meet and differ in `most` fingerprint
+    bits or fewer are joined too. All columns come back as they were. Rows equal in every column
     count as one.
     """
     keyed, keys = content_keyed(docs), ["id", "h1", "h2"]
     rows = checkpoint(fingerprints(keyed.select(*keys, "text"), keys, more=n))
-    left = _stay(grouped(rows, keys))
+    folded = checkpoint(rows.groupBy("fp").agg(F.min(_ranked(keys)).alias("first")))
+    rooted = checkpoint(_rooted(folded, components(links(folded.select("fp")))))
+    groups = rooted.groupBy("root").agg(F.min("first").alias("first"))
     if n:
-        left = checkpoint(left)
-        folded = left.select("fp", _ranked(keys).alias("first"))  # one row of each fingerprint is left
-        left = _stay(left.join(firsts(folded, components(similar(left.withColumn("node", F.col("fp")), most=most))), "fp"))
-    return keyed.join(left.select("h1", "h2"), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("row.*")
-
-
-def _stay(rows: DataFrame) -> DataFrame:
-    """The rows that are the first of their component; of equal rows one."""
-    mine = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h1") == F.col("first.h1")) & (F.col("h2") == F.col("first.h2"))
-    return rows.where(mine).drop("first").dropDuplicates(["h1", "h2"])
+        groups = checkpoint(groups)
+        texts = rows.select("fp", "sketches").distinct().join(rooted.select("fp", F.col("root").alias("node")), "fp")
+        groups = _rooted(groups.withColumnRenamed("root", "fp"), components(similar(texts, most=most))).groupBy("root").agg(F.min("first").alias("first"))
+    return keyed.join(groups.select("first.h1", "first.h2"), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("row.*")

@@ -168,6 +168,14 @@ def test_long_texts_over_a_small_vocabulary(spark):
     assert kept == {i for i in range(80) if i % 2 == 0 or i // 2 not in near}
 
 
+def test_links_of_any_member_link_its_group(spark, monkeypatch):
+    # 1 and 2 are within the radius; 3 meets 2 only, and 4 meets nothing
+    made = spark.createDataFrame([(1, 0, [1 << 40]), (2, 3, [0x5555]), (3, 0x7FF, [0x5555]), (4, 0x7F, [-1])], "id long, fp long, sketches array<bigint>")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, keys, more=0: docs.select(*keys).join(made, "id"))
+    docs = spark.createDataFrame([(i, f"t{i}", "en", "s", 0) for i in (1, 2, 3, 4)], SCHEMA)
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [1, 4]
+
+
 def test_one_stays(spark):
     rows = [(2, "a b c d", "en", "s", 1), (1, "a b c d", "de", "s", 1), (1, "a b c d", "de", "s", 1), (None, "a b c d", None, None, None), (None, "x y z v", None, None, None), (9, "", None, "t", 0), (8, None, None, "t", 0)]
     docs = spark.createDataFrame([(*r, k, 1.0) for k, r in enumerate(rows)], SCHEMA + ", h1 int, fp double")
