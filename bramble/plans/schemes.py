@@ -10,10 +10,11 @@ from bramble.operators.search import SCHEMES
 from bramble.plans.built import Built
 
 
-def run(b: Built, queries: DataFrame, scheme: str, k: int = 0, longest: int = 64, threshold: int = 1000) -> DataFrame:
+def run(b: Built, queries: DataFrame, scheme: str, k: int = 0, longest: int | None = None, threshold: int = 1000) -> DataFrame:
     """queries(qid, uid, prefix) -> qid, v (and rank, score for top-k schemes); v is a node's number in name order.
 
-    Prefixes of over `longest` characters match nothing. The scheme `coverage` was
+    Prefixes of over `longest` characters match nothing; without it, the queries' longest
+    prefix counts. The scheme `coverage` was
     never defined and is refused, as are unknown names.
     """
     if scheme == "coverage":
@@ -22,6 +23,8 @@ def run(b: Built, queries: DataFrame, scheme: str, k: int = 0, longest: int = 64
         raise ValueError(f"unknown scheme {scheme!r}; known: {', '.join(SCHEMES)}")
     if (SCHEMES[scheme] == "topk") != (k > 0):
         raise ValueError("k > 0 is for top-k schemes, and they need it")
+    if longest is None:
+        longest = queries.agg(F.max(F.length("prefix"))).first()[0] or 0
     both = b.ids.join(b.remap, "uid", "left").select("uid", "sid", "id")
     asked = queries.select("qid", "uid", "prefix").join(both, "uid")
     if scheme in ("baseline-asindex", "fast-baseline-asindex", "baseline-hopping", "fast-baseline-hopping"):

@@ -251,3 +251,14 @@ def test_attribute_cdf(spark):
     counts = spark.createDataFrame([("a", 3), ("b", 1), ("c", 1)], "attribute string, n long")
     assert [(r.attribute, r.share) for r in workload.attribute_cdf(counts).orderBy("share").collect()] == [("b", 0.2), ("c", 0.4), ("a", 1.0)]
     assert {r.attribute: r.share for r in workload.attribute_cdf(counts, cumulative=False).collect()} == {"a": 0.6, "b": 0.2, "c": 0.2}
+
+
+@pytest.mark.parametrize("scheme", ["asindex", "fast-baseline-asindex", "baseline-asindex"])
+def test_long_prefixes_match(spark, scheme):
+    from bramble.plans import built, schemes
+
+    names = spark.createDataFrame([(1, "b"), (2, "a" * 100), (3, "a" * 99 + "c")], "uid long, name string")
+    b = built.build(names, spark.createDataFrame([(1, 2), (1, 3)], "src long, dst long"))
+    asked = spark.createDataFrame([(1, 1, "a" * 80), (2, 1, "a" * 100), (3, 1, "a" * 101)], "qid long, uid long, prefix string")
+    sid = {r.uid: r.sid for r in b.ids.collect()}
+    assert pairs(schemes.run(b, asked, scheme)) == sorted([(1, sid[2]), (1, sid[3]), (2, sid[2])])
