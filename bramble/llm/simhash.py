@@ -14,8 +14,15 @@ components of all pairs, with rows linear in the members, for a radius of 2 or l
 
 Rows with the same fingerprint fold into one representative before any table is
 built. Null texts count as empty; a text without words has fingerprint zero and is
-linked like any other. An empty input gives an empty result. A null doc_id is carried;
-a component's id is the smallest doc_id that is not null, or null if it has none.
+linked like any other. Long texts are hashed in chunks. An empty input gives an empty
+result. A null doc_id is carried; a component's id is the smallest doc_id that is not
+null, or null if it has none.
+
+For dropping near copies, whose fingerprints of shingles differ in more bits than
+covering tables can take, each text also has further, shorter sketches: SimHashes of
+its set of words, where long words weigh more, which a changed word moves less. They
+go into covering tables of their own. Rows that meet there are compared by an
+estimate of the Jaccard similarity of their sets of five-word shingles.
 """
 
 from __future__ import annotations
@@ -32,12 +39,17 @@ from bramble.llm.common import checkpoint, content_keyed, text_of
 SHINGLE, RADIUS, BITS, SEED = 3, 2, 64, 42
 #: The increment and the multipliers of the SplitMix64 finalizer.
 _STEP, _MIX = 0x9E3779B97F4A7C15, ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
-#: For dropping near copies: sketches, and the most fingerprint bits in which a copy differs from what stays.
-SKETCHES, MOST_BITS = 8, 11
+#: For dropping near copies: sketches, their bits, and the words of the shingles whose similarity links.
+SKETCHES, SKETCH_BITS, WIDTH = 16, 48, 5
+#: Copies of a text with one word in thirty changed have a similarity of about 0.7, and 0.5 among each other.
+LEAST = 0.5
+#: Bytes of the signature from which similarity is estimated, one for each bin of shingle hashes.
+BINS = 128
 #: Members of a bucket that are compared in one row.
 CROWD = 8192
 #: Shingles whose bits are unpacked at once: 64 bytes each.
 CHUNK = 1 << 16
+_SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 def fingerprint(text: str, width: int = SHINGLE) -> int:
@@ -61,35 +73,73 @@ def fingerprint(text: str, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def sketches(text: str, n: int) -> list[int]:
-    """n further unsigned fingerprints, each with its own hash, of the set of words: a changed word moves them less than it moves one of shingles."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, by in _MIX:
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return x ^ (x >> np.uint64(31))
+
+
+def bare_words(text: str) -> list[bytes]:
+    """Lower-case (A-Z) words without ASCII punctuation at either end."""
+    found = (w.strip(_SIGNS) for w in text.encode("utf-8", "surrogatepass").lower().split())
+    return [w for w in found if w]
+
+
+def sketches_and_signature(text: str, n: int = SKETCHES, bits: int = SKETCH_BITS, bins: int = BINS, width: int = WIDTH) -> tuple[np.ndarray, bytes]:
+    """n SimHashes of the set of words, each with its own hash, and a byte for each bin of the shingles' hashes.
+
+    A word's weight grows with its length, from 4 letters to 12: long words are the rare
+    ones. A shingle's bin is its hash modulo `bins`; the bin's byte comes from the
+    smallest hash in it, and is 0 where the bin is empty.
+    """
     import xxhash
 
-    words = list(set(text.encode("utf-8", "surrogatepass").lower().split()))
-    ones = np.zeros((n, BITS), dtype=np.int64)
-    for at in range(0, len(words), CHUNK):
-        first = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words[at : at + CHUNK]], dtype=np.uint64)
-        for k in range(n):
-            h = first + np.uint64(_STEP * (k + 1) % (1 << 64))
-            for shift, by in _MIX:
-                h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
-            ones[k] += np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-    return [int.from_bytes(np.packbits(2 * x > len(words)).tobytes(), "big") for x in ones]
+    found = bare_words(text)
+    if not found:
+        return np.zeros(n, dtype=np.int64), bytes(bins)
+    place: dict[bytes, int] = {}
+    at = np.fromiter((place.setdefault(w, len(place)) for w in found), dtype=np.int64, count=len(found))
+    first = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in place), dtype=np.uint64, count=len(place))
+    weight = np.fromiter((max(1, 4 * (min(len(w), 12) - 3)) for w in place), dtype=np.float32, count=len(place))
+    sums = np.zeros(n * bits, dtype=np.int64)
+    steps = np.array([_STEP * (k + 1) % (1 << 64) for k in range(n)], dtype=np.uint64)
+    for k in range(0, len(first), 4096):  # sums of so many weights are exact in 32 bits
+        h = _mixed(first[k : k + 4096, None] + steps)
+        part = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(len(h), n, 8)[:, :, : bits // 8].reshape(len(h), -1), axis=1)
+        sums += (weight[k : k + 4096] @ part.astype(np.float32)).astype(np.int64)
+    ones = (2 * sums > int(weight.sum(dtype=np.float64))).reshape(n, bits)
+    packed = np.zeros((n, 8), dtype=np.uint8)
+    packed[:, 8 - bits // 8 :] = np.packbits(ones, axis=1)
+    made = packed.view(">u8").astype(np.int64).ravel()
+
+    words, wide = first[at], max(1, len(at) - width + 1)
+    h = np.zeros(wide, dtype=np.uint64)
+    for k in range(min(width, len(at))):
+        h = _mixed(h + words[k : k + wide] + np.uint64(_STEP))
+    h = np.unique(h)  # in order, so that the first of each bin is its smallest
+    bin_, where = np.unique(h % np.uint64(bins), return_index=True)
+    signature = np.zeros(bins, dtype=np.uint8)
+    signature[bin_.astype(np.int64)] = h[where] // np.uint64(bins) % np.uint64(255) + np.uint64(1)
+    return made, signature.tobytes()
 
 
 def fingerprints(docs: DataFrame, keys: list[str], width: int = SHINGLE, more: int = 0) -> DataFrame:
-    """The key columns, the fingerprint `fp`, as a signed long, and `more` sketches of every row."""
+    """The key columns, the fingerprint `fp`, as a signed long, and `more` sketches and, with them, the signature of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(len(keys)).to_pylist()
             found = np.array([fingerprint(t, width) for t in texts], dtype=np.uint64)
-            others = np.array([sketches(t, more) for t in texts], dtype=np.uint64).reshape(len(texts), more)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(found.view(np.int64)), pa.array(list(others.view(np.int64)), pa.list_(pa.int64()))], [*keys, "fp", "sketches"])
+            columns, names = [*b.columns[: len(keys)], pa.array(found.view(np.int64))], [*keys, "fp"]
+            if more:
+                others = [sketches_and_signature(t, more) for t in texts]
+                columns += [pa.array([x.tolist() for x, _ in others], pa.list_(pa.int64())), pa.array([x for _, x in others], pa.binary())]
+                names += ["sketches", "signature"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(*keys, text_of().alias("text"))
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.mapInArrow(run, f"{kinds}, fp long, sketches array<bigint>")
+    return rows.mapInArrow(run, f"{kinds}, fp long" + (", sketches array<bigint>, signature binary" if more else ""))
 
 
 def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -125,14 +175,14 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return two.union(many).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (u, v); root is the smallest node of its component.
 
     Alternates large-star and small-star steps; each is one minimum by node and one
     equi-join, and each round's edges go to the checkpoint folder.
     """
     edges, before = checkpoint(edges.select("u", "v")), None
-    for _ in range(most_rounds):
+    while True:  # each round lowers some node's smallest neighbour or is the last
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
@@ -144,12 +194,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == before:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).union(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
         before = tuple(state)
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, keys: list[str], radius: int = RADIUS) -> DataFrame:
     """Of every row: its keys, `fp`, and `first`, the smallest struct of keys in its component."""
-    return grouped(checkpoint(fingerprints(docs, keys).drop("sketches")), keys, radius)
+    return grouped(checkpoint(fingerprints(docs, keys)), keys, radius)
 
 
 def grouped(rows: DataFrame, keys: list[str], radius: int = RADIUS) -> DataFrame:
@@ -169,27 +218,34 @@ def firsts(folded: DataFrame, joined: DataFrame) -> DataFrame:
     return rooted.select("fp", "root").join(least, "root").select("fp", "first")
 
 
-def bridges(fp: np.ndarray, node: np.ndarray, cut: int, most: int) -> list[tuple[int, int]]:
-    """Pairs of nodes that join exactly the components of all pairs of members that differ in `most` bits or fewer.
+def alike(signatures: np.ndarray, one: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of signatures have an estimated similarity to one of at least `least`: of the bins that either has a shingle in, the share that agree."""
+    same = ((signatures == one) & (one != 0)).sum(axis=1)
+    either = ((signatures != 0) | (one != 0)).sum(axis=1)
+    return same >= least * np.maximum(either, 1)
+
+
+def bridges(signatures: np.ndarray, node: np.ndarray, cut: int, least: float) -> list[tuple[int, int]]:
+    """Pairs of nodes that join exactly the components of all pairs of members that are alike.
 
     Members of one node count as joined. Where some lie from `cut` on, the members before
     and those from there count as joined among themselves as far as such pairs join them,
     and only pairs from one side to the other come back.
     """
-    group, found, n = np.unique(node, return_inverse=True)[1], [], len(fp)
+    group, found, n = np.unique(node, return_inverse=True)[1], [], len(node)
 
     def meet(one: slice, other: slice, said: bool) -> None:
         for i in range(*one.indices(n)):
             mine = group[i]
             if (group[one] == mine).all() and (group[other] == mine).all():
                 return
-            hit = np.flatnonzero(np.bitwise_count(fp[other] ^ fp[i]) <= most)
+            open_ = np.flatnonzero(group[other] != mine)
+            hit = open_[alike(signatures[other][open_], signatures[i], least)]
             kinds, at = np.unique(group[other][hit], return_index=True)
-            fresh = kinds != mine
-            if fresh.any():
+            if len(kinds):
                 if said:
-                    found.extend((int(node[i]), int(x)) for x in node[other][hit[at[fresh]]])
-                group[np.isin(group, kinds[fresh])] = mine
+                    found.extend((int(node[i]), int(x)) for x in node[other][hit[at]])
+                group[np.isin(group, kinds)] = mine
 
     if cut < n:
         meet(slice(0, cut), slice(0, cut), False)
@@ -200,45 +256,40 @@ def bridges(fp: np.ndarray, node: np.ndarray, cut: int, most: int) -> list[tuple
     return found
 
 
-def similar(rows: DataFrame, radius: int = RADIUS, most: int = MOST_BITS, crowd: int = CROWD) -> DataFrame:
-    """Pairs (u, v), u < v, of nodes that join exactly the components of all pairs of rows(fp, node, sketches) whose sketches share a bucket of any covering table and whose fp differ in `most` bits or fewer.
+def similar(texts: DataFrame, radius: int = RADIUS, bits: int = SKETCH_BITS, least: float = LEAST, crowd: int = CROWD) -> DataFrame:
+    """Pairs (u, v), u < v, of nodes that join exactly the components of all pairs of texts(t, node, sketches, signature) that share a bucket of any covering table and are alike.
 
     Every member of a bucket is compared with every other unless they are joined already,
     but a spanning forest comes back, so rows are linear in the members. Buckets of over
     `crowd` members are dealt into parts, and each pair of parts is a row of its own.
-    Buckets of the same members, by 128 bits, count once.
+    Buckets of the same members count once. A bucket is named by a hash of its table and
+    key, and t is a hash of the text; where hashes meet by chance, more are compared.
     """
-    kept = F.array(*map(_long, masks(radius)))
-    keys = F.flatten(F.transform("sketches", lambda x, k: F.transform(kept, lambda m, t: F.struct((k * 100 + t).alias("c"), x.bitwiseAND(m).alias("key")))))
-    placed = rows.select("fp", "node", F.explode(keys).alias("b")).select("fp", "node", "b.c", "b.key")
-    sums = [F.sum(F.xxhash64(F.lit(k), "fp", "node").cast("decimal(20,0)")).alias(f"s{k}") for k in (0, 1)]
-    ends = [f(F.struct("node", "fp")).alias(name) for f, name in ((F.min, "lo"), (F.max, "hi"))]
-    buckets = placed.groupBy("c", "key").agg(F.count("*").alias("n"), *sums, *ends).where("lo.node < hi.node")
-    buckets = checkpoint(buckets.groupBy("n", "s0", "s1").agg(F.min(F.struct("c", "key", "lo", "hi")).alias("b")).select("n", "b.*"))
-    near = F.bit_count(F.col("lo.fp").bitwiseXOR(F.col("hi.fp"))) <= most
-    two = buckets.where("n = 2").where(near).select(F.col("lo.node").alias("u"), F.col("hi.node").alias("v"))
-    parts = F.ceil(F.col("n") / crowd).cast("int")
-    shared = placed.join(buckets.where("n > 2").select("c", "key", parts.alias("parts")), ["c", "key"])
-    shared = checkpoint(shared.withColumn("part", F.pmod(F.xxhash64("fp", "node"), F.col("parts")).cast("int")))  # so that the join has exchanges of its own, which can be split
-    listed = shared.groupBy("c", "key", "parts", "part").agg(F.collect_list(F.struct("fp", "node")).alias("m"))
+    kept = F.array(*map(_long, masks(radius, bits)))
+    keys = F.flatten(F.transform("sketches", lambda x, k: F.transform(kept, lambda m, t: F.xxhash64(k * 100 + t, x.bitwiseAND(m)))))
+    placed = texts.select("t", "node", F.explode(keys).alias("b"))
+    counted = placed.groupBy("b").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("t")).alias("x")).where("lo < hi")
+    buckets = checkpoint(counted.groupBy("n", "lo", "hi", "x").agg(F.min("b").alias("b")).select("b", F.ceil(F.col("n") / crowd).cast("int").alias("parts")))
+    shared = placed.join(buckets, "b").withColumn("part", F.pmod(F.xxhash64("t", F.lit(1)), F.col("parts")).cast("int"))
+    shared = checkpoint(shared)  # so that the join has exchanges of its own, which can be split
+    members = shared.join(texts.select("t", "node", "signature"), ["t", "node"])
+    listed = members.groupBy("b", "parts", "part").agg(F.collect_list(F.struct("node", "signature")).alias("m"))
     small = listed.where("parts = 1").select("m", F.size("m").alias("cut"))
     large = checkpoint(listed.where("parts > 1"))
-    other = large.select("c", "key", F.col("part").alias("part2"), F.col("m").alias("m2"))
-    crossed = large.join(other, ["c", "key"]).where("part <= part2").repartition("c", "key", "part", "part2")
+    other = large.select("b", F.col("part").alias("part2"), F.col("m").alias("m2"))
+    crossed = large.join(other, "b").where("part <= part2").repartition("b", "part", "part2")
     crossed = crossed.select(F.when(F.col("part") == F.col("part2"), F.col("m")).otherwise(F.concat("m", "m2")).alias("m"), F.size("m").alias("cut"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ends, cuts, found = b.column(0), b.column(2).to_pylist(), []
-            fps, nodes = (b.column(k).values.to_numpy() for k in (0, 1))
-            fps = fps.view(np.uint64)  # of a negative number, bits are counted in its absolute value
-            at = ends.offsets.to_pylist()
-            for k, cut in enumerate(cuts):
-                found += bridges(fps[at[k] : at[k + 1]], nodes[at[k] : at[k + 1]], cut, most)
+            found, cuts = [], b.column(2).to_pylist()
+            for nodes, signatures, cut in zip(b.column(0), b.column(1), cuts, strict=True):
+                made = np.frombuffer(b"".join(signatures.values.to_pylist()), np.uint8).reshape(-1, BINS)
+                found += bridges(made, nodes.values.to_numpy(), cut, least)
             yield pa.RecordBatch.from_arrays([pa.array([f(x) for x in found], pa.int64()) for f in (min, max)], ["u", "v"])
 
-    many = small.union(crossed).select("m.fp", "m.node", "cut").mapInArrow(run, "u long, v long")
-    return two.union(many).distinct()
+    many = small.union(crossed).select("m.node", "m.signature", "cut").mapInArrow(run, "u long, v long")
+    return many.distinct()
 
 
 def _ranked(keys: list[str]) -> Column:
@@ -246,15 +297,13 @@ def _ranked(keys: list[str]) -> Column:
     return F.struct(F.col(keys[0]).isNull().alias("none"), *(F.col(k) for k in keys))
 
 
-def drop_near_duplicates(docs: DataFrame, n: int = SKETCHES, most: int = MOST_BITS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, n: int = SKETCHES, least: float = LEAST) -> DataFrame:
     """One row of each group of near duplicates: the one of the smallest doc_id, then of the smallest content hash.
 
-    First come the components of fingerprints within the radius. What differs in a few
-    words has fingerprints some bits further apart, for which covering tables of one
-    fingerprint grow too many; so all distinct texts are placed in the tables of n
-    sketches, and the components of all pairs that meet and differ in `most` fingerprint
-    bits or fewer are joined too. All columns come back as they were. Rows equal in every column
-    count as one.
+    First come the components of fingerprints within the radius. Then all distinct texts
+    are placed in the tables of n sketches, and the components of all pairs that meet
+    there and whose estimated similarity is at least `least` are joined too. All columns
+    come back as they were. Rows equal in every column count as one.
     """
     keyed, keys = content_keyed(docs), ["id", "h1", "h2"]
     rows = checkpoint(fingerprints(keyed.select(*keys, "text"), keys, more=n))
@@ -263,6 +312,8 @@ def drop_near_duplicates(docs: DataFrame, n: int = SKETCHES, most: int = MOST_BI
     groups = rooted.groupBy("root").agg(F.min("first").alias("first"))
     if n:
         groups = checkpoint(groups)
-        texts = rows.select("fp", "sketches").distinct().join(rooted.select("fp", F.col("root").alias("node")), "fp")
-        groups = _rooted(groups.withColumnRenamed("root", "fp"), components(similar(texts, most=most))).groupBy("root").agg(F.min("first").alias("first"))
+        texts = rows.select("fp", F.xxhash64("fp", "sketches", "signature").alias("t"), "sketches", "signature")
+        texts = texts.groupBy("fp", "t").agg(F.first("sketches").alias("sketches"), F.first("signature").alias("signature"))
+        texts = checkpoint(texts.join(rooted.select("fp", F.col("root").alias("node")), "fp").drop("fp"))
+        groups = _rooted(groups.withColumnRenamed("root", "fp"), components(similar(texts, least=least))).groupBy("root").agg(F.min("first").alias("first"))
     return keyed.join(groups.select("first.h1", "first.h2"), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("row.*")

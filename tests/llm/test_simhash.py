@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -133,22 +134,105 @@ def test_many_near_copies(spark):
     assert sum(i < 1000 for i in kept) <= 3
 
 
+def shingles(text, width=5):
+    words = simhash.bare_words(text)
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def edited(rnd, words, vocabulary, n):
+    words = list(words)
+    for _ in range(n):
+        words[rnd.randrange(len(words))] = rnd.choice(vocabulary)
+    return words
+
+
+def test_signature_estimates_similarity():
+    rnd = random.Random(3)
+    vocabulary = [f"word{i}" for i in range(4000)]
+    far = 0
+    for n in (20, 80, 300, 3000):
+        for k in range(30):
+            words = rnd.choices(vocabulary, k=n)
+            a, b = " ".join(words), " ".join(edited(rnd, words, vocabulary, n * k // 300))
+            x, y = (np.frombuffer(simhash.sketches_and_signature(t)[1], np.uint8) for t in (a, b))
+            told = (same := ((x == y) & (x != 0)).sum()) / max(1, ((x != 0) | (y != 0)).sum())
+            assert simhash.alike(x[None], y, 0.5)[0] == (told >= 0.5) and same >= 0
+            far += abs(told - jaccard(shingles(a), shingles(b))) > 0.15
+    assert far <= 4
+
+
+def test_sketches_against_plain_python():
+    text = "Over, and over again: the Longest_word of ALL wins! ß"
+    words = dict.fromkeys(simhash.bare_words(text))
+    assert list(words) == [b"over", b"and", b"again", b"the", b"longest_word", b"of", b"all", b"wins", "ß".encode()]
+
+    def mix(x):
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> shift)) * by % 2**64
+        return x ^ (x >> 31)
+
+    made, _ = simhash.sketches_and_signature(text)
+    for k, sketch in enumerate(made):
+        sums = [0] * 48
+        for w in words:
+            h = mix((xxhash.xxh64_intdigest(w, 42) + 0x9E3779B97F4A7C15 * (k + 1)) % 2**64) >> 16
+            for bit in range(48):
+                sums[bit] += max(1, 4 * (min(len(w), 12) - 3)) * (1 if h >> bit & 1 else -1)
+        assert sketch == sum(1 << bit for bit in range(48) if sums[bit] > 0)
+    assert simhash.sketches_and_signature(" \n")[1] == bytes(simhash.BINS)
+
+
 @pytest.mark.parametrize("crowd", [7, 8192])
 def test_all_pairs_of_a_bucket_are_compared(spark, crowd):
     rnd = random.Random(11)
-    points = [rnd.getrandbits(64) for _ in range(40)]
-    points += [p ^ sum(1 << i for i in rnd.sample(range(64), rnd.randint(3, 13))) for p in points]
-    centre = rnd.getrandbits(64)
-    points += [centre ^ sum(1 << i for i in rnd.sample(range(64), rnd.randint(0, 9))) for _ in range(30)]
-    rows = [(signed(p), signed(p), [5, 9]) for p in points]
-    edges = simhash.similar(spark.createDataFrame(rows, "fp long, node long, sketches array<bigint>"), crowd=crowd)
+    base = [bytes(rnd.randrange(1, 256) for _ in range(simhash.BINS)) for _ in range(6)]
+    made = []
+    for b in base:  # chains whose ends are unlike
+        for _ in range(9):
+            b = bytes(rnd.randrange(1, 256) if rnd.random() < 0.3 else x for x in b)
+            made.append(b)
+    rows = [(i, i, [5, 9], s) for i, s in enumerate(made)]
+    edges = simhash.similar(spark.createDataFrame(rows, "t long, node long, sketches array<bigint>, signature binary"), crowd=crowd)
     roots = {r.node: r.root for r in simhash.components(edges).collect()}
-    groups = {}
-    for p, k in plain_components(sorted(set(points)), 11).items():
-        groups.setdefault(k, set()).add(signed(p))
-    assert len(groups) > 5
-    for g in groups.values():
-        assert {roots.get(p, p) for p in g} == {min(g)}
+    parent = list(range(len(made)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(made):
+        for j, y in enumerate(made):
+            if sum(a == b for a, b in zip(x, y, strict=True)) >= 0.5 * simhash.BINS:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert 1 < len({find(i) for i in range(len(made))}) <= 6
+    assert [roots.get(i, i) for i in range(len(made))] == [find(i) for i in range(len(made))]
+
+
+def test_recall_by_similarity(spark):
+    """Of pairs of texts with a five-word similarity of 0.7 or more, nearly all lose one; of those below 0.3, none do."""
+    rnd = random.Random(17)
+    vocabulary = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(2, 11))) for _ in range(3000)]
+    common = vocabulary[:40]
+    rows, bands = [], {}
+    for g in range(700):
+        n = rnd.choice([60, 150, 250, 450])
+        words = [rnd.choice(common) if rnd.random() < 0.4 else rnd.choice(vocabulary) for _ in range(n)]
+        other = edited(rnd, words, vocabulary, max(1, round(n * rnd.choice([0.01, 0.02, 0.03, 0.05, 0.2, 0.4]))))
+        a, b = " ".join(words), " ".join(other)
+        rows += [(2 * g, a, "en", "s", 0), (2 * g + 1, b, "en", "s", 0)]
+        bands.setdefault(int(10 * jaccard(shingles(a), shingles(b))), []).append(g)
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(2 * g in kept for g in range(700))
+    caught = {b: sum(2 * g + 1 not in kept for g in gs) / len(gs) for b, gs in bands.items()}
+    high = [g for b, gs in bands.items() if b >= 8 for g in gs]
+    assert len(high) > 50 and sum(2 * g + 1 not in kept for g in high) >= 0.99 * len(high)
+    assert len(bands[7]) > 30 and caught[7] >= 0.95
+    assert all(caught[b] == 0 for b in bands if b <= 2)
 
 
 def test_long_texts_over_a_small_vocabulary(spark):
@@ -157,20 +241,15 @@ def test_long_texts_over_a_small_vocabulary(spark):
     rows = []
     for g in range(40):
         words = rnd.choices(vocabulary, k=10_000)
-        rows.append((2 * g, " ".join(words), "en", "s", 0))
-        for i in rnd.sample(range(10_000), 150):
-            words[i] = rnd.choice(vocabulary)
-        rows.append((2 * g + 1, " ".join(words), "en", "s", 0))
-    prints = [simhash.fingerprint(r[1]) for r in rows]
-    near = {g for g in range(40) if (prints[2 * g] ^ prints[2 * g + 1]).bit_count() <= 11}
-    assert len(near) > 30
+        rows += [(2 * g, " ".join(words), "en", "s", 0), (2 * g + 1, " ".join(edited(rnd, words, vocabulary, 150)), "en", "s", 0)]
     kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert kept == {i for i in range(80) if i % 2 == 0 or i // 2 not in near}
+    assert kept == set(range(0, 80, 2))
 
 
 def test_links_of_any_member_link_its_group(spark, monkeypatch):
     # 1 and 2 are within the radius; 3 meets 2 only, and 4 meets nothing
-    made = spark.createDataFrame([(1, 0, [1 << 40]), (2, 3, [0x5555]), (3, 0x7FF, [0x5555]), (4, 0x7F, [-1])], "id long, fp long, sketches array<bigint>")
+    one, two = bytes([7]) * simhash.BINS, bytes([9]) * simhash.BINS
+    made = spark.createDataFrame([(1, 0, [1 << 40], two), (2, 3, [0x5555], one), (3, 0x7FF, [0x5555], one), (4, 0x7F, [3], one)], "id long, fp long, sketches array<bigint>, signature binary")
     monkeypatch.setattr(simhash, "fingerprints", lambda docs, keys, more=0: docs.select(*keys).join(made, "id"))
     docs = spark.createDataFrame([(i, f"t{i}", "en", "s", 0) for i in (1, 2, 3, 4)], SCHEMA)
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [1, 4]
