@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but the six ASCII white-space characters.
@@ -61,3 +61,23 @@ def content_keyed(docs: DataFrame) -> DataFrame:
     # the hash skips nulls, so a flag in front of each value tells where they stand
     said = [x for c in columns for x in (c.isNull(), c)]
     return docs.select(F.struct(*columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(*said).alias("h1"), F.xxhash64(F.lit("second"), *said).alias("h2"), text_of().alias("text"))
+
+
+def prefix_sums(df: DataFrame, values: dict[str, Column], kind: str, *order: Column) -> DataFrame:
+    """df with, for each name, the sum of its value over all rows before in the order, which should be total.
+
+    Ranges are sorted and summed by themselves and shifted by the sums of the ranges
+    before; only these, one row a partition, reach the driver.
+    """
+    rows = df.select("*", *(v.cast(kind).alias(f"_v_{k}") for k, v in values.items())).repartitionByRange(*order)
+    rows = checkpoint(rows.withColumn("_part", F.spark_partition_id()))
+    sums = rows.groupBy("_part").agg(*(F.sum(f"_v_{k}").alias(k) for k in values)).collect()
+    before, shift = [0] * len(values), []
+    for r in sorted(sums, key=lambda r: r["_part"]):
+        shift.append((r["_part"], *before))
+        before = [b + r[k] for b, k in zip(before, values, strict=True)]
+    put = float if kind == "double" else int
+    offsets = df.sparkSession.createDataFrame([(p, *map(put, x)) for p, *x in shift] or [(0, *[put(0)] * len(values))], "_p2 int, " + ", ".join(f"_o_{k} {kind}" for k in values))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(F.broadcast(offsets), F.col("_part") == F.col("_p2"))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), *((F.col(f"_o_{k}") + F.coalesce(F.sum(f"_v_{k}").over(inside), F.lit(0).cast(kind))).alias(k) for k in values))

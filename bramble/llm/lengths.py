@@ -3,9 +3,10 @@
 Documents are encoded and counted by length; tasks send one row for each length they
 have seen. Sums over the distinct lengths then answer totals, quantiles and truncated
 totals for every context limit. Of T tokens there are at most sqrt(2 T) distinct
-lengths, so the last, ordered step is small at any size.
+lengths; they are summed by ranges.
 
-Null and empty texts have length 0. An empty input gives no rows.
+Null and empty texts have length 0; repeated rows and ids each count. Texts of any
+length are encoded as a whole. Other columns are ignored. An empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bramble.llm.common import text_of
+from bramble.llm.common import checkpoint, prefix_sums, text_of
 from bramble.llm.tokens import VOCABULARY, encoder, read_vocabulary
 
 
@@ -49,15 +50,18 @@ def histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def suffix_sums(counts: DataFrame) -> DataFrame:
-    """Of every length: documents and tokens of that length, of it or longer, the share of documents up to it, and the tokens left if every document is cut at it."""
-    down = Window.orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(F.lit(0))
-    rows = counts.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"))
-    rows = rows.withColumn("docs_from", F.sum("n_docs").over(down)).withColumn("tokens_from", F.sum("tokens").over(down))
-    rows = rows.withColumn("all_docs", F.sum("n_docs").over(whole)).withColumn("all_tokens", F.sum("tokens").over(whole))
-    share = (F.col("all_docs") - F.col("docs_from") + F.col("n_docs")) / F.col("all_docs")
-    cut = F.col("all_tokens") - F.col("tokens_from") + F.col("docs_from") * F.col("n_tokens")
-    return rows.select("n_tokens", "n_docs", "tokens", "docs_from", "tokens_from", share.alias("share_up_to"), cut.alias("tokens_cut_here"), "all_docs", "all_tokens")
+    """Of every length: documents and tokens of that length, of it or longer, the share of documents up to it, and the tokens left if every document is cut at it.
+
+    Sums run over ranges of lengths first, so no task sees all lengths.
+    """
+    rows = checkpoint(counts.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens")))
+    docs, tokens = (x or 0 for x in rows.agg(F.sum("n_docs"), F.sum("tokens")).first())
+    rows = prefix_sums(rows, {"docs_before": F.col("n_docs"), "tokens_before": F.col("tokens")}, "long", F.col("n_tokens"))
+    rows = rows.withColumn("docs_from", F.lit(docs) - F.col("docs_before")).withColumn("tokens_from", F.lit(tokens) - F.col("tokens_before"))
+    share = (F.col("docs_before") + F.col("n_docs")) / docs if docs else F.lit(1.0)
+    cut = F.col("tokens_before") + F.col("docs_from") * F.col("n_tokens")
+    whole = [F.lit(x).cast("long").alias(name) for x, name in ((docs, "all_docs"), (tokens, "all_tokens"))]
+    return rows.select("n_tokens", "n_docs", "tokens", "docs_from", "tokens_from", share.alias("share_up_to"), cut.alias("tokens_cut_here"), *whole)
 
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
