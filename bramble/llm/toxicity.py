@@ -1,16 +1,21 @@
 """Toxicity scores by gradient-boosted trees over dense features, with isotonic calibration.
 
-A lexicon of words and word stems is learned from the labelled texts, then fourteen
+A lexicon of words and word stems is learned from labelled texts, then fourteen
 features of each whole text: densities of lexicon hits, how many stand near a
 second-person word, capitals, punctuation, exclamation and obfuscation rates, and
-length. Trees are grown on three quarters of the training rows; pool-adjacent-violators
-on the others turns margins into probabilities. Scores see the text only.
-
-Training takes at most `most` labelled rows, those of the smallest hashes of their
-doc_id; with fewer labels it takes all. Null and empty texts have all features zero
-and get that score. Conflicting labels of one doc_id count as toxic; labels that are
-null are left out. Without any label of both kinds, scores are the base rate (0
-without labels).
+length. Lexicon and trees come from three quarters of the training rows;
+pool-adjacent-violators on the others, which neither has seen, turns margins into
+probabilities. Scores see the text only.
+
+Training takes at most `most` labelled doc_ids, those of the smallest hashes, and one
+text of each (the one of the smallest hash, where an id repeats), so that many rows at
+most; with fewer labels it takes all. The lexicon holds every term that passes the
+test, and since each occurs in at least four toxic texts of that sample, the sample
+bounds it. Null and empty texts have all features zero and get that score. Conflicting
+labels of one doc_id count as toxic; labels that are null are left out. Without any
+label of both kinds, scores are the base rate (0 without labels). Texts of any length
+are read whole, in time proportional to their length; repeated rows get equal scores;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +32,8 @@ from pyspark.sql import functions as F
 
 from bramble.llm.common import checkpoint, text_of
 
-#: Labelled rows that training takes at most, and terms that the lexicon keeps at most.
-MOST_ROWS, MOST_TERMS = 20_000, 5_000
+#: Labelled rows that training takes at most.
+MOST_ROWS = 20_000
 #: Terms that a task counts before it passes its counts on.
 MOST_HELD = 200_000
 #: Second-person words of English, German, French and Spanish.
@@ -41,6 +46,7 @@ _TOKEN = re.compile(r"[^\W_]+")
 _MIXED = re.compile(r"[\d@$!*._-](?<=[^\W\d_].)[\d@$!*._-]*(?=[^\W\d_])")
 _MASKED = re.compile(r"[\d@$!](?<=[^\W\d_].)(?=[^\W_])|[@$](?=[^\W\d_])")
 _CAPITAL, _SIGNS = re.compile(r"[A-ZÀ-ÖØ-Þ]"), re.compile(r"[^\w\s]+")
+_SPACE = re.compile(r"\s")
 _LONG = re.compile(r"([^\W_])\1\1\1+")
 FEATURES = ("words", "hits", "distinct", "density", "strongest", "stem_hits", "stem_density", "near_second_person", "second_person", "capitals", "punctuation", "exclamations", "obfuscated", "long_repeats")
 
@@ -51,12 +57,12 @@ def tokens(text: str) -> list[str]:
     out = _TOKEN.findall(low)
     end = 0
     for m in _MASKED.finditer(low):
-        if m.start() >= end:  # its whole run of characters without white space, at most 64 to either side
-            start, end = m.start(), m.end()
-            while start > max(0, m.start() - 64) and not low[start - 1].isspace():
+        if m.start() >= end:  # its whole run of characters without white space
+            start, last = m.start(), end
+            while start > last and not low[start - 1].isspace():
                 start -= 1
-            while end < min(len(low), m.end() + 64) and not low[end].isspace():
-                end += 1
+            space = _SPACE.search(low, m.end())
+            end = space.start() if space else len(low)
             out.extend(_TOKEN.findall(low[start:end].rstrip("!?.,;:'\")").translate(UNMASK)))
     return out
 
@@ -189,15 +195,11 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate:
 
 def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple:
     """Knots of the increasing step fit, by pooling adjacent violators; ends are shrunk by one pseudo-row at the base rate."""
-    order = np.argsort(margin, kind="stable")
     p = (y.sum() + 0.5) / (len(y) + 1)
     blocks: list[list[float]] = []
-    for m, v in zip(margin[order], y[order], strict=True):
-        if blocks and blocks[-1][3] == m:
-            blocks[-1][0] += v
-            blocks[-1][1] += 1
-        else:
-            blocks.append([float(v), 1.0, m, m])
+    keys, place, size = np.unique(margin, return_inverse=True, return_counts=True)
+    for m, n, v in zip(keys.tolist(), size.tolist(), np.bincount(place, y).tolist(), strict=True):  # equal margins first
+        blocks.append([v, float(n), m, m])
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
             b = blocks.pop()
             blocks[-1] = [blocks[-1][0] + b[0], blocks[-1][1] + b[1], blocks[-1][2], b[3]]
@@ -210,19 +212,33 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> DataFrame:
-    """doc_id, text, toxic of the bounded training sample; rows with crc32(doc_id) mod 5 = 0 are held out."""
+    """doc_id, text, toxic of the bounded training sample, a row for each doc_id; rows with crc32(doc_id) mod 5 = 0 are held out."""
     known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null")
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # a bounded number of short rows, so its broadcast is bounded
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(few), "doc_id")
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(few), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("toxic").alias("toxic"))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, most_terms: int = MOST_TERMS) -> Model:
-    rows = checkpoint(training_rows(docs, labels, most))
-    n, positive = rows.agg(F.count("*"), F.sum("toxic")).first()
+def weighed(counts: DataFrame, n: int, positive: int) -> DataFrame:
+    """term and weight of the terms that stand in toxic texts far more often than chance has it. counts(term, a, n): toxic texts and texts with the term, of `positive` and n."""
+    # a Gaussian score of the term's toxic documents against the base rate, with the continuity correction
+    rate = float(positive) / n
+    z = (F.col("a") - 0.5 - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
+    weight = F.log((F.col("a") + 0.5) * (1 - rate) / ((F.col("n") - F.col("a") + 0.5) * rate))
+    return counts.where(F.col("a") >= 4).select("term", z.alias("z"), weight.alias("weight")).where("z > 5 and weight > 2.5").select("term", "weight")
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model:
+    rows = checkpoint(training_rows(docs, labels, most).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4))))
+    share = {r.aside: r for r in rows.groupBy((F.col("part") == 0).alias("aside")).agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).collect()}
+    n, positive = (sum(r[c] or 0 for r in share.values()) for c in ("n", "p"))
     if not n or not positive or positive == n:
-        rate = float(positive or 0) / n if n else 0.0
-        return Model(knots=((0.0,), (rate,)))
+        return Model(knots=((0.0,), (float(positive) / n if n else 0.0,)))
+    apart = len(share) == 2 and all(r.p >= 8 for r in share.values())  # else too few to set some aside
+    learned = rows.where("part <> 0") if apart else rows
+    if apart:
+        n, positive = share[False]["n"], share[False].p
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, bad = Counter(), Counter()
@@ -240,14 +256,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, most_terms:
     def tally(seen: Counter, bad: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([bad[t] for t in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["term", "a", "n"])
 
-    counts = rows.select("text", "toxic").mapInArrow(split, "term string, a long, n long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
-    # a Gaussian score of the term's toxic documents against the base rate, with the continuity correction
-    rate = float(positive) / n
-    z = (F.col("a") - 0.5 - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    weight = F.log((F.col("a") + 0.5) * (1 - rate) / ((F.col("n") - F.col("a") + 0.5) * rate))
-    best = counts.where(F.col("a") >= 4).select("term", z.alias("z"), weight.alias("weight")).where("z > 5 and weight > 2.5")
+    counts = learned.select("text", "toxic").mapInArrow(split, "term string, a long, n long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
     lexicon, stems = {}, {}
-    for r in best.orderBy(F.desc("z"), "term").limit(most_terms).collect():
+    for r in weighed(counts, n, positive).collect():
         (stems if r.term.endswith("*") else lexicon)[r.term.rstrip("*")] = r.weight
     model = Model(lexicon, stems)
 
@@ -257,15 +268,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, most_terms:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sample = rows.mapInArrow(describe, f"doc_id {kind}, toxic int, x array<double>").select("toxic", "x", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)).alias("part"), F.xxhash64("doc_id").alias("o")).collect()
+    order = F.xxhash64("doc_id").alias("o")
+    sample = rows.select("doc_id", "text", "toxic").mapInArrow(describe, f"doc_id {kind}, toxic int, x array<double>").select("toxic", "x", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)).alias("part"), order).collect()
     sample.sort(key=lambda r: (r.o, r.toxic, r.x))
     x, y = np.array([r.x for r in sample]), np.array([r.toxic for r in sample], dtype=float)
-    rest = np.array([r.part == 0 for r in sample])
-    if y[rest].sum() < 8 or y[~rest].sum() < 8:  # too few to set some aside
-        rest[:] = True
-        model.base, model.trees = boost(x, y)
-    else:
-        model.base, model.trees = boost(x[~rest], y[~rest])
+    aside = np.array([apart and r.part == 0 for r in sample])
+    model.base, model.trees = boost(x[~aside], y[~aside])
+    rest = aside if apart else ~aside
     model.knots = isotonic(model.margins(x[rest]), y[rest])
     return model
 
