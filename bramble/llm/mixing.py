@@ -15,9 +15,15 @@ source ever lies in one task. The budget is the target rounded down; whole epoch
 repeat every document, and the last epoch is cut at exactly the budget's word, inside
 a document if need be.
 
-Null texts count as empty. Documents of size zero take nothing, and sources of size
-zero have target zero. Equal rows are told apart by position only, so the rows come
-out the same. An empty input gives an empty result.
+Equal rows count as one row of so many copies, and only in the end become rows again,
+a bounded number from each, so that they crowd no bucket. Sources are numbered and
+summed by ranges too; however many there are, one row each reaches no single task.
+
+Null texts count as empty, and texts of any length are counted whole. Documents of
+size zero take nothing, and sources of size zero have target zero. Of equal rows, those
+that the budget ends among are told apart by position only, so the rows come out the
+same. Other columns are ignored, or carried by the mix itself. An empty input gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -25,9 +31,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bramble.llm.common import WORD, checkpoint, content_keyed, text_of
+from bramble.llm.common import WORD, checkpoint, content_keyed, prefix_sums, text_of
 
 WEIGHTS, SHARE, MOST_EPOCHS, BUCKET = (3, 1, 2), 1.5, 2, 4096
+#: Copies that one row becomes.
+COPIES = 4096
 
 
 def words_of(text: Column) -> Column:
@@ -37,26 +45,26 @@ def words_of(text: Column) -> Column:
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = MOST_EPOCHS) -> DataFrame:
-    """source, source_size -> also weight and target. One row a source: the only rows that meet in one task."""
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    place = F.row_number().over(order) - 1
-    weighed = sources.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (place % len(weights) + 1).cast("int")))
+    """source, source_size -> also weight and target."""
+    order = [F.col("source").isNull(), F.col("source")]
+    placed = prefix_sums(sources, {"_place": F.lit(1)}, "long", *order)
+    weighed = placed.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("_place") % len(weights) + 1).cast("int")))
     full = weighed.withColumn("cap", epochs * F.col("source_size").cast("double")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    whole, by_ratio = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("ratio", F.col("source").isNull(), "source")
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    left = F.sum(F.col("source_size").cast("double")).over(whole) * share - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    heavy = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    levels = full.withColumn("level", left / heavy).withColumn("open", F.col("level") < F.col("ratio"))
-    first = F.min(F.when(F.col("open"), F.struct("ratio", "level"))).over(whole)
-    level = first["level"]
-    return levels.withColumn("target", F.when(level.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), level * F.col("weight")))).select("source", "source_size", "weight", "target")
+    rows = checkpoint(prefix_sums(full, {"_caps": F.col("cap"), "_weights": F.col("weight")}, "double", F.col("ratio"), *order))
+    size, weight = rows.agg(F.sum(F.col("source_size").cast("double")), F.sum("weight")).first()
+    level = (F.lit((size or 0.0) * share) - F.col("_caps")) / (F.lit(weight or 1.0) - F.col("_weights"))
+    # of equal ratios the first: once one of them is taken out, the level falls
+    first = rows.select("ratio", (-level).alias("less")).where("-less < ratio").agg(F.min(F.struct("ratio", "less")).alias("f")).first().f
+    target = F.col("cap") if first is None else F.least(F.col("cap"), F.lit(-first.less) * F.col("weight"))
+    return rows.select("source", "source_size", "weight", target.alias("target"))
 
 
 def mix(rows: DataFrame, key: Column, seed: int = 0, weights=WEIGHTS, share: float = SHARE, epochs: int = MOST_EPOCHS, bucket: int = BUCKET) -> DataFrame:
-    """rows(source, size, ...) -> also source_size, target and taken; key, a string, tells rows apart and is hashed with the seed."""
+    """rows(source, size, ...) -> each distinct row with copies, source_size, target, turns (whole epochs) and rest, what the copies together take of the last epoch; key, a string, tells rows apart and is hashed with the seed."""
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), key))
-    rows = checkpoint(rows.withColumn("_key", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")))
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
+    keyed = rows.withColumn("_key", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
+    rows = checkpoint(keyed.groupBy(*keyed.columns).agg(F.count("*").alias("copies")))
+    sources = checkpoint(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("_rows")))
     planned = targets(sources.select("source", "source_size"), weights, share, epochs)
     planned = checkpoint(planned.join(sources.select(F.col("source").alias("s2"), "_rows"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"))
     # buckets of a source are equal ranges of its keys
@@ -64,16 +72,16 @@ def mix(rows: DataFrame, key: Column, seed: int = 0, weights=WEIGHTS, share: flo
     spread = (F.col("_key") / F.lit(2.0**60)) * F.col("_n")
     with_plan = rows.join(F.broadcast(plan) if _small(planned) else plan, F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     placed = with_plan.withColumn("_bucket", F.least(F.floor(spread), F.col("_n") - 1).cast("long")).drop("_n")
-    sums = placed.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
+    words = F.col("size") * F.col("copies")
+    sums = placed.groupBy("source", "_bucket").agg(F.sum(words).alias("_sum"))
     upto = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("source").alias("s2"), F.col("_bucket").alias("b2"), F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_offset"))
     placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("s2")) & (F.col("_bucket") == F.col("b2"))).drop("s2", "b2")
     within = Window.partitionBy("source", "_bucket").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    budget = F.floor(F.col("target")).cast("long")
-    turns = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0))
-    before = F.col("_offset") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    rest = F.greatest(F.lit(0), F.least(F.col("size"), budget - turns * F.col("source_size") - before))
-    return placed.withColumn("taken", (turns * F.col("size") + rest).cast("long")).drop("_key", "_bucket", "_offset")
+    turns = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0)).cast("long")
+    before = F.col("_offset") + F.coalesce(F.sum(words).over(within), F.lit(0))
+    rest = F.greatest(F.lit(0), F.least(words, F.floor("target").cast("long") - turns * F.col("source_size") - before)).cast("long")
+    return placed.withColumn("turns", turns).withColumn("rest", rest).drop("_bucket", "_offset")
 
 
 def _small(planned: DataFrame, most: int = 10_000) -> bool:
@@ -81,22 +89,37 @@ def _small(planned: DataFrame, most: int = 10_000) -> bool:
     return planned.limit(most + 1).count() <= most
 
 
-def mixture(docs: DataFrame, **how) -> DataFrame:
+def _parts(rows: DataFrame, n: Column, copies: int) -> DataFrame:
+    """Each row with `_part` from 0, a part for every `copies` of n; where any row has several, they are dealt out."""
+    parts = rows.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / copies))))
+    return parts if rows.where(n > copies).isEmpty() else parts.repartition("_key", "_part")
+
+
+def mixture(docs: DataFrame, copies: int = COPIES, **how) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), words_of(text_of()).alias("size"), F.md5(text_of()).alias("_tie"))
-    return mix(rows, F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_tie"), **how).select("doc_id", "size", "source_size", "target", "taken")
+    blocks = checkpoint(mix(rows, F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_tie"), **how))
+    first = F.col("_part") * copies
+    each = _parts(blocks, F.col("copies"), copies).withColumn("_copy", F.explode(F.sequence(first, F.least(F.col("copies"), first + copies) - 1)))
+    rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("_copy") * F.col("size")))
+    return each.select("doc_id", "size", "source_size", "target", (F.col("turns") * F.col("size") + rest).cast("long").alias("taken"))
 
 
-def apply_mixture(docs: DataFrame, **how) -> DataFrame:
+def apply_mixture(docs: DataFrame, copies: int = COPIES, **how) -> DataFrame:
     """The mix itself: each document as often as it is taken whole, and the one that the budget ends in cut after the last word taken. All columns as they were."""
     keyed = content_keyed(docs)
     rows = keyed.select("h1", "h2", F.col("row.source").cast("string").alias("source"), words_of(F.col("text")).alias("size"))
+    blocks = mix(rows, F.concat_ws("|", F.col("h1").cast("string"), F.col("h2").cast("string")), **how)
     # equal rows share what they take: one of them stands for all
-    taken = mix(rows, F.concat_ws("|", F.col("h1").cast("string"), F.col("h2").cast("string")), **how).groupBy("h1", "h2").agg(F.sum("taken").alias("words"), F.max("size").alias("size")).where("words > 0")
-    once = keyed.drop("id", "text").dropDuplicates(["h1", "h2"]).join(taken, ["h1", "h2"])
+    words = F.col("turns") * F.col("size") * F.col("copies") + F.col("rest")
+    taken = checkpoint(blocks.select("h1", "h2", "_key", "size", words.alias("words")).where("words > 0"))
+    once = keyed.select("h1", "h2", "row").dropDuplicates(["h1", "h2"])
+    parts = _parts(taken, F.expr("(words + size - 1) div size"), copies)
+    left = F.col("words") - F.col("_part") * copies * F.col("size")
+    parts = parts.select("h1", "h2", "size", F.least(left, F.col("size") * copies).alias("words"))
     part = F.expr("words % size")
     counts = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.expr("words div size").cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    each = once.select("row", F.explode(counts).alias("words"))
+    each = once.join(parts, ["h1", "h2"]).select("row", F.explode(counts).alias("words"))
     text = F.when(F.col("words") < 0, F.col("row.text")).otherwise(first_words(text_of("row.text"), F.col("words")))
     return each.select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 

@@ -174,7 +174,7 @@ WITH sized AS (
 ), levels AS (
   SELECT *, (1.5::DOUBLE * sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level
   FROM ratios WINDOW o AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), found AS (SELECT min_by(level, ratio) AS level FROM levels WHERE level < ratio
+), found AS (SELECT max(level) AS level FROM levels WHERE level < ratio AND ratio = (SELECT min(ratio) FROM levels WHERE level < ratio)
 ), plan AS (SELECT source, source_size, CASE WHEN f.level IS NULL THEN cap ELSE least(cap, f.level * w) END AS target FROM levels, found f
 ), placed AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS turns,

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,16 +61,50 @@ def test_mixture(docs):
 
 
 def test_the_mix_itself(docs):
-    wanted = {(r.doc_id, r.size): 0 for r in mixing.mixture(docs).collect()}
     total = docs.select(mixing.words_of(F.coalesce("text", F.lit(""))).alias("n"), "source").groupBy("source").sum("n").collect()
     mixed = mixing.apply_mixture(docs)
     assert mixed.columns == docs.columns
     got = mixed.select(mixing.words_of(F.col("text")).alias("n"), "source").groupBy("source").sum("n").collect()
     want = plain_targets({r[0]: r[1] for r in total})
     assert {r[0]: r[1] for r in got} == {s: int(t + 1e-9) for s, t in want.items() if int(t + 1e-9)}
-    texts = {r.text for r in docs.collect() if r.text}
+    rows = docs.collect()
+    texts = {r.text for r in rows if r.text}
     assert all(any(t.startswith(r.text) for t in texts) for r in mixed.collect())
-    assert wanted
+    # a document's whole copies are at most its epochs, and one document a source is cut
+    whole = Counter((r.doc_id, r.text, r.source) for r in mixed.collect())
+    had = Counter((r.doc_id, r.text, r.source) for r in rows)
+    assert sum(k not in had for k in whole) <= len(want)
+    assert all(n <= 2 * had[k] for k, n in whole.items() if k in had)
+
+
+@pytest.mark.parametrize("copies", [3, 4096])
+def test_a_third_of_all_rows_are_equal(spark, copies):
+    rows = [(None, "one two three", "en", "a", 0)] * 500 + [(i, "w " * (i % 9), "en", "b" if i % 3 else "a", 0) for i in range(900)]
+    docs = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], SCHEMA + ", size string, taken int, h1 int")
+    got = mixing.mixture(docs, copies=copies).collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((r[0], len((r[1] or "").split())) for r in rows)
+    equal = Counter(r.taken for r in got if r.doc_id is None)
+    assert len(equal) <= 3 and max(equal) <= 6
+    sums, plans = Counter(), {}
+    for r in got:
+        sums[r.source_size] += r.taken
+        plans[r.source_size] = r.target
+    assert all(sums[k] == int(plans[k]) for k in plans)
+    mixed = mixing.apply_mixture(docs, copies=copies)
+    assert mixed.columns == docs.columns
+    words = mixed.select(mixing.words_of(F.col("text")).alias("n"), "source").groupBy("source").sum("n").collect()
+    assert sorted(r[1] for r in words) == sorted(sums.values())
+
+
+def test_many_sources(spark):
+    rnd = random.Random(4)
+    rows = [(i, " ".join(["w"] * rnd.randint(0, 9)), "en", f"s{rnd.randrange(400)}", 0) for i in range(3000)]
+    sizes = {}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + len(r[1].split())
+    want = plain_targets(sizes)
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    assert {r.source: r.target for r in got} == pytest.approx(want)
 
 
 def test_words(spark):
