@@ -12,8 +12,8 @@ text of each (the one of the smallest hash, where an id repeats), so that many r
 most; with fewer labels it takes all. The lexicon holds every term that passes the
 test, and since each occurs in at least four toxic texts of that sample, the sample
 bounds it. Null and empty texts have all features zero and get that score. Conflicting
-labels of one doc_id count as toxic; labels that are null are left out. Without any
-label of both kinds, scores are the base rate (0 without labels). Texts of any length
+labels of one doc_id count as toxic; labels that are null are left out. Without
+labels of both kinds nothing tells texts apart, and all scores are near 0. Texts of any length
 are read whole, in time proportional to their length; repeated rows get equal scores;
 other columns are ignored.
 """
@@ -194,8 +194,8 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate:
 
 
 def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple:
-    """Knots of the increasing step fit, by pooling adjacent violators; ends are shrunk by one pseudo-row at the base rate."""
-    p = (y.sum() + 0.5) / (len(y) + 1)
+    """Knots of the increasing step fit, by pooling adjacent violators; values are shrunk a little to the base rate, to which one clean row is added, so that nothing known means not toxic."""
+    p = y.sum() / (len(y) + 1)
     blocks: list[list[float]] = []
     keys, place, size = np.unique(margin, return_inverse=True, return_counts=True)
     for m, n, v in zip(keys.tolist(), size.tolist(), np.bincount(place, y).tolist(), strict=True):  # equal margins first
@@ -234,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model:
     share = {r.aside: r for r in rows.groupBy((F.col("part") == 0).alias("aside")).agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).collect()}
     n, positive = (sum(r[c] or 0 for r in share.values()) for c in ("n", "p"))
     if not n or not positive or positive == n:
-        return Model(knots=((0.0,), (float(positive) / n if n else 0.0,)))
+        return Model(knots=((0.0,), (0.0,)))
     apart = len(share) == 2 and all(r.p >= 8 for r in share.values())  # else too few to set some aside
     learned = rows.where("part <> 0") if apart else rows
     if apart:

@@ -68,7 +68,7 @@ def plain_isotonic(margins, y):
     sums = [[sum(v for m, v in zip(margins, y, strict=True) if m == k), sum(m == k for m in margins)] for k in keys]
     mean = lambda i, j: sum(s for s, _ in sums[i : j + 1]) / sum(n for _, n in sums[i : j + 1])
     raw = [max(min(mean(i, j) for j in range(k, len(keys))) for i in range(k + 1)) for k in range(len(keys))]
-    base = (sum(y) + 0.5) / (len(y) + 1)
+    base = sum(y) / (len(y) + 1)
     out = []
     for r in raw:
         n = sum(c for (_, c), x in zip(sums, raw, strict=True) if abs(x - r) < 1e-12)
