@@ -48,10 +48,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written to the shared folder and read again; a stage's copy goes once the next is written, the last stays."""
+    docs, at = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
-        at = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(at)
-        docs = spark.read.parquet(at)
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        docs = spark.read.parquet(f"{at}/{name}")
+        if before:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{before}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
