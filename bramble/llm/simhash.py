@@ -98,16 +98,18 @@ def sketches_and_signature(text: str, n: int = SKETCHES, bits: int = SKETCH_BITS
     if not found:
         return np.zeros(n, dtype=np.int64), bytes(bins)
     place: dict[bytes, int] = {}
-    at = np.fromiter((place.setdefault(w, len(place)) for w in found), dtype=np.int64, count=len(found))
-    first = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in place), dtype=np.uint64, count=len(place))
-    weight = np.fromiter((max(1, 4 * (min(len(w), 12) - 3)) for w in place), dtype=np.float32, count=len(place))
+    at = np.array([place.setdefault(w, len(place)) for w in found], dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
+    first = np.array([digest(w, SEED) for w in place], dtype=np.uint64)
+    weight = np.clip(4 * (np.fromiter(map(len, place), dtype=np.int64, count=len(place)) - 3), 1, 36).astype(np.uint8)
     sums = np.zeros(n * bits, dtype=np.int64)
     steps = np.array([_STEP * (k + 1) % (1 << 64) for k in range(n)], dtype=np.uint64)
-    for k in range(0, len(first), 4096):  # sums of so many weights are exact in 32 bits
+    for k in range(0, len(first), 4096):
         h = _mixed(first[k : k + 4096, None] + steps)
         part = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(len(h), n, 8)[:, :, : bits // 8].reshape(len(h), -1), axis=1)
-        sums += (weight[k : k + 4096] @ part.astype(np.float32)).astype(np.int64)
-    ones = (2 * sums > int(weight.sum(dtype=np.float64))).reshape(n, bits)
+        part *= weight[k : k + 4096, None]  # not a matrix product, which would start threads
+        sums += part.sum(axis=0, dtype=np.int64)
+    ones = (2 * sums > weight.sum(dtype=np.int64)).reshape(n, bits)
     packed = np.zeros((n, 8), dtype=np.uint8)
     packed[:, 8 - bits // 8 :] = np.packbits(ones, axis=1)
     made = packed.view(">u8").astype(np.int64).ravel()
