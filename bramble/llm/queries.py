@@ -28,10 +28,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(HOSTILE).alias("text"))
-    return chat.report(chat.format_turns(chat.turns_of_rows(rows.union(more)), "conv_id"), "conv_id")
+    rows = table(spark, sf_dir, "conversations").unionByName(more, allowMissingColumns=True)
+    return chat.report(chat.format_turns(chat.turns_of(rows, "conv_id"), "conv_id"), "conv_id")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

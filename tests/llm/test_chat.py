@@ -21,7 +21,7 @@ def plain(rows):
 
 def check(spark, rows):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    formatted = chat.format_turns(chat.turns_of_rows(df), "conv_id")
+    formatted = chat.format_turns(chat.turns_of(df), "conv_id")
     want = {}
     for c, *rest in rows:
         want.setdefault(c, []).append(rest)
@@ -75,13 +75,68 @@ def test_layouts(spark):
     assert chat.unknown(canon).agg(F.sum("records")).first()[0] == 3
     assert got[60].fingerprint == chat.fingerprint_of(["other.a"])
     formatted = {r.id: r for r in chat.format_turns(canon, "id").collect()}
-    assert formatted[0].formatted == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n" and formatted[60].formatted == ""
+    assert formatted[0].formatted == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n" and formatted[60].formatted is None and formatted[60].loss_mask is None
     assert [formatted[0].formatted[a:b] for a, b in formatted[0].loss_mask] == ["yo"]
 
 
+def plain_paths(value, at=""):
+    if isinstance(value, dict):
+        return {p for k, v in value.items() for p in plain_paths(v, f"{at}.{k}" if at else k)} or {at + "{}"}
+    if isinstance(value, list):
+        return {p for v in value for p in plain_paths(v, at + "[]")} or {at + "[]"}
+    return {at}
+
+
+def test_paths_at_every_depth(spark):
+    deep = {"z": 1}
+    for k in range(30):
+        deep = {f"level {k}": [deep]}
+    records = [
+        {"messages": [{"role": "user", "content": [{"type": "text", "text": "hi"}]}]}, {"a": {"b": [[{"c": 1}, {"d": None}]], "e": {}, "f": []}, "odd: `name` <x>, y": 2.5, "": 1},
+        deep, {"é\n": {"ARRAY<": True, "x.y": "s"}}, {"n": [1, 2.5, 1e300]}, {},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "id int, j string")
+    got = {r.id: r.p for r in df.select("id", chat.json_paths(F.col("j")).alias("p")).collect()}
+    for i, r in enumerate(records):
+        assert got[i] == sorted(plain_paths(r)), r
+    mixed = spark.createDataFrame([('{"messages": [{"role": "a", "content": "s"}, {"role": "a", "content": [{"text": "t"}]}]}',)], "j string")
+    assert mixed.select(chat.json_paths(F.col("j")).alias("p")).first().p == ["messages[].content?", "messages[].role"]
+
+
+def test_nested_content_is_unknown_and_further_fields_do_no_harm(spark):
+    nested = {"messages": [{"role": "user", "content": [{"type": "text", "text": "hi"}]}]}
+    more = {"id": 7, "meta": {"source": ["x"]}, "messages": [{"role": "user", "content": "hi", "weight": 1}]}
+    canon = chat.canonical(spark.createDataFrame([(1, json.dumps(nested)), (2, json.dumps(more)), (3, '{"prompt": "a", "response": "b", "answer": "c"}')], "id long, record string"), "id", "record")
+    got = {r.id: r for r in canon.collect()}
+    assert got[1].layout is None and got[3].layout is None and got[2].layout == "messages" and [tuple(t) for t in got[2].turns] == [("user", "hi")]
+    assert got[1].fingerprint == chat.fingerprint_of(["messages[].content[].text", "messages[].content[].type", "messages[].role"])
+
+
+def test_tables_take_the_mapping_of_their_fingerprint(spark):
+    turns = [("user", "hi"), ("assistant", "yo")]
+    tables = {
+        "turn_rows": (spark.createDataFrame([(1, 1, "yo", "assistant", 5), (1, 0, "hi", "user", 5)], "conv_id long, turn int, text string, role string, r int"), "conv_id"),
+        "sharegpt_rows": (spark.createDataFrame([(1, 0, "human", "hi"), (1, 1, "gpt", "yo")], "id long, position int, `from` string, value string"), "id"),
+        "messages": (spark.createDataFrame([(1, [("user", "hi"), ("assistant", "yo")], "x")], "id long, messages array<struct<role:string,content:string>>, turns string"), "id"),
+        "instruction_output": (spark.createDataFrame([(1, "hi", "yo")], "id long, instruction string, output string"), "id"),
+        "prompt_response": (spark.createDataFrame([(1, "yo", "hi")], "id long, response string, prompt string"), "id"),
+    }
+    for name, (df, key) in tables.items():
+        assert chat.layout_of(df.schema).name == name
+        row = chat.turns_of(df, key).first()
+        assert row[key] == 1 and [tuple(t) for t in row.turns] == turns
+    with pytest.raises(ValueError, match="key"):
+        chat.turns_of(tables["messages"][0])
+
+
+def test_a_very_long_text(spark):
+    text = "a<b [x] & c\n" * 200_000
+    check(spark, [(1, 0, "user", text), (1, 1, "assistant", text)])
+
+
 def test_other_columns_and_empty(spark):
     rows = spark.createDataFrame([(1, 0, "user", "a", 5)], "conv_id long, turn long, role string, text string, formatted int")
-    assert chat.turns_of_rows(rows).count() == 1
-    assert chat.report(chat.format_turns(chat.turns_of_rows(rows.limit(0)), "conv_id"), "conv_id").count() == 0
+    assert chat.turns_of(rows).count() == 1
+    assert chat.report(chat.format_turns(chat.turns_of(rows.limit(0)), "conv_id"), "conv_id").count() == 0
     with pytest.raises(ValueError):
-        chat.turns_of_rows(rows.drop("role"))
+        chat.turns_of(rows.drop("role"))
