@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bramble.llm.common import text_of
+from bramble.llm.common import sliced, text_of
 from bramble.llm.tokens import END, VOCABULARY, encoder, model, read_vocabulary
 
 ROW, BLOCK = 2048, 4_000_000
@@ -106,7 +106,7 @@ def pack(docs: DataFrame, row: int = ROW, vocabulary: str = VOCABULARY, end: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard = encoder(data), TaskContext.get().partitionId()
         number, held, copy, pieces, id_type = 0, 0, 0, [], None
-        for b in batches:
+        for b in sliced(batches):
             ids, id_type = b.column(0).to_pylist(), b.schema.field(0).type
             for k in range(b.num_rows):
                 found = np.array([*encode(b.column(1)[k].as_py()), end], dtype=kind)

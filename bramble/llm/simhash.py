@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bramble.llm.common import checkpoint, content_keyed, text_of
+from bramble.llm.common import checkpoint, content_keyed, sliced, text_of
 
 SHINGLE, RADIUS, BITS, SEED = 3, 2, 64, 42
 #: The increment and the multipliers of the SplitMix64 finalizer.
@@ -129,7 +129,7 @@ def fingerprints(docs: DataFrame, keys: list[str], width: int = SHINGLE, more: i
     """The key columns, the fingerprint `fp`, as a signed long, and `more` sketches and, with them, the signature of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(len(keys)).to_pylist()
             found = np.array([fingerprint(t, width) for t in texts], dtype=np.uint64)
             columns, names = [*b.columns[: len(keys)], pa.array(found.view(np.int64))], [*keys, "fp"]

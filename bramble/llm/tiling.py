@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bramble.llm.common import WORD, checkpoint, text_of
+from bramble.llm.common import WORD, checkpoint, sliced, text_of
 
 SEED_WORDS, THRESHOLD, SHORTEST = 5, 0.8, 3
 #: Bits of the filter for each seed, probes, and the largest filter: 2**28 bits, 32 MB.
@@ -205,7 +205,7 @@ def excerpts(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = sent.value
-        for b in batches:
+        for b in sliced(batches):
             seeds, parts = [], []
             for text in b.column(3).to_pylist():
                 tokens, found, starts = hashed(text), [], []

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bramble.llm.common import checkpoint, text_of
+from bramble.llm.common import checkpoint, sliced, text_of
 
 #: Labelled rows that training takes at most.
 MOST_ROWS = 20_000
@@ -242,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, bad = Counter(), Counter()
-        for b in batches:
+        for b in sliced(batches):
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = terms({w for w in tokens(text) if len(w) > 2})
                 seen.update(found)
@@ -263,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model:
     model = Model(lexicon, stems)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = [model.features(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
 
@@ -283,7 +283,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; a null doc_id is held out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             x = np.array([model.features(t) for t in b.column(1).to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(x))], ["doc_id", "score"])
 
@@ -298,7 +298,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             x = np.array([model.features(t or "") for t in b.column(at).to_pylist()]).reshape(-1, len(FEATURES))
             yield b.filter(pa.array(model.scores(x) < threshold))
 
