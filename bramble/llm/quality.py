@@ -11,8 +11,9 @@ judged by characters alone, each against its own reference.
 
 All steps are DataFrame operations. Texts stay in their rows; only histograms are
 shuffled, summed by language in partial sums first. Windows are compared by 64-bit
-hashes within one text. Null texts count as empty. An empty input gives an empty
-result.
+hashes within one text. Null texts count as empty; repeated rows and ids each have their
+row and weigh in the references as often; other columns are ignored. Texts of any length
+are judged whole. An empty input gives an empty result.
 """
 
 from __future__ import annotations

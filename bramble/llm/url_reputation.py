@@ -13,7 +13,10 @@ without outcomes get their domain's prior.
 All steps are DataFrame operations. Pages of one host meet only in partial sums; the
 host table joins back to the pages by an equi-join, whose large partitions adaptive
 execution splits. A null url, or one without "://", has an empty host and path and is
-judged as the host "". An empty input gives an empty result.
+judged as the host "". Null labels count as none, repeated pages each have their row,
+urls of any length are split whole, and other columns are ignored. Label ids of any type
+are compared as numbers; what is no number names no page. An empty input gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from bramble.llm.common import ascii_lower, checkpoint
 
 #: One-sided 95 % bound; below this share of good pages a host is blocked.
 Z, LIMIT = 1.645, 0.5
-#: Second-level suffixes under which names are registered.
+#: Second-level suffixes under which names are registered; a default, for which a fuller list may be passed.
 SECOND_LEVEL = ("ac.uk", "co.uk", "gov.uk", "org.uk", "co.jp", "ne.jp", "or.jp", "com.au", "net.au", "org.au", "co.nz", "com.br", "com.cn", "com.mx", "co.in", "co.kr", "co.za")
 
 
@@ -52,17 +55,17 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
-def suffix_of(host: Column) -> Column:
+def suffix_of(host: Column, seconds: tuple[str, ...] = SECOND_LEVEL) -> Column:
     """The public suffix; a host that is an address, or has one label, is its own."""
     bare = F.regexp_replace(host, r":\d*$", "")
     two = F.substring_index(bare, ".", -2)
-    return F.when(bare.rlike(r"^[\d.]+$|^\["), bare).when(two.isin(*SECOND_LEVEL), two).otherwise(F.substring_index(bare, ".", -1))
+    return F.when(bare.rlike(r"^[\d.]+$|^\["), bare).when(two.isin(*seconds), two).otherwise(F.substring_index(bare, ".", -1))
 
 
-def domain_of(host: Column, suffix: Column) -> Column:
+def domain_of(host: Column, suffix: Column, seconds: tuple[str, ...] = SECOND_LEVEL) -> Column:
     """The suffix and one label more, if there is one."""
     bare = F.regexp_replace(host, r":\d*$", "")
-    return F.when(bare == suffix, bare).when(suffix.isin(*SECOND_LEVEL), F.substring_index(bare, ".", -3)).otherwise(F.substring_index(bare, ".", -2))
+    return F.when(bare == suffix, bare).when(suffix.isin(*seconds), F.substring_index(bare, ".", -3)).otherwise(F.substring_index(bare, ".", -2))
 
 
 def _weight(children: DataFrame) -> float:
@@ -72,11 +75,11 @@ def _weight(children: DataFrame) -> float:
     return 1 / min(max(rho, 0.001), 0.9) - 1
 
 
-def reputations(outcomes: DataFrame, z: float = Z) -> DataFrame:
+def reputations(outcomes: DataFrame, z: float = Z, seconds: tuple[str, ...] = SECOND_LEVEL) -> DataFrame:
     """outcomes(host, good): one row a page, good null where not labelled -> host, n, mean and upper of every host."""
     counts = outcomes.groupBy("host").agg(F.count("good").alias("n"), F.sum(F.coalesce("good", F.lit(0))).alias("k"))
-    suffix = suffix_of(F.col("host"))
-    hosts = checkpoint(counts.select("host", suffix.alias("suffix"), domain_of(F.col("host"), suffix).alias("domain"), "n", "k"))
+    suffix = suffix_of(F.col("host"), seconds)
+    hosts = checkpoint(counts.select("host", suffix.alias("suffix"), domain_of(F.col("host"), suffix, seconds).alias("domain"), "n", "k"))
     n, k = hosts.agg(F.sum("n"), F.sum("k")).first()
     top = ((k or 0) + 1) / ((n or 0) + 2)
     # sums of counts, not of rates: each parent's outcomes are its children's
@@ -93,7 +96,7 @@ def reputations(outcomes: DataFrame, z: float = Z) -> DataFrame:
     return known.select("host", "n", mean.alias("mean"), (mean + z * F.sqrt(mean * (1 - mean) / (a + b + 1))).alias("upper"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], z: float = Z, limit: float = LIMIT) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], z: float = Z, limit: float = LIMIT, seconds: tuple[str, ...] = SECOND_LEVEL) -> DataFrame:
     """page_id, host, path, rule, verdict and the host's figures of every page.
 
     A page's outcome is the quality label of the document its path names by the first
@@ -102,8 +105,8 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     split = split.withColumn("named", F.expr("try_cast(nullif(regexp_extract(path, '([0-9]+)', 1), '') as bigint)"))
-    good = labels.select(F.col("doc_id").cast("long").alias("named"), F.col("quality").cast("int").alias("good")).where("named is not null and good is not null").groupBy("named").agg(F.max("good").alias("good"))
-    hosts = reputations(split.join(good, "named", "left").select("host", "good"), z)
+    good = labels.select(F.col("doc_id").cast("string").try_cast("long").alias("named"), F.col("quality").cast("int").alias("good")).where("named is not null and good is not null").groupBy("named").agg(F.max("good").alias("good"))
+    hosts = reputations(split.join(good, "named", "left").select("host", "good"), z, seconds)
     rule = rule_of(F.col("host"), F.col("path"), rules)
     judged = split.drop("named").join(hosts, "host").withColumn("fit", rule)
     verdict = F.coalesce("fit.action", F.when(F.col("upper") < limit, "block").otherwise("allow"))

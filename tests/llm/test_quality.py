@@ -86,3 +86,12 @@ def test_long_text(spark):
     text = " ".join(f"w{i % 5000}" for i in range(40_000))
     r = quality.judge(spark.createDataFrame([(1, text, "en", "s", 0)], SCHEMA)).first()
     assert r.n_words == 40_000 and r.n_repeat_words == 40_000 and not r.kept
+
+
+def test_clashing_columns_and_repeated_rows(spark, docs):
+    plain = {(r.doc_id, r.n_words, r.kept): 0 for r in quality.judge(docs).collect()}
+    more = docs.selectExpr("*", "1 as n_words", "'x' as rest", "2 as left0", "'y' as c", "3 as l2", "4 as a0", "false as kept")
+    got = quality.judge(more).collect()
+    assert {(r.doc_id, r.n_words, r.kept) for r in got} == plain.keys()
+    twice = quality.judge(docs.union(docs))
+    assert twice.count() == 2 * docs.count() and {(r.doc_id, r.n_words, r.kept) for r in twice.collect()} == plain.keys()

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from bramble.llm import simhash
 from bramble.llm.common import WORD
@@ -108,6 +109,27 @@ def test_whole_operator(spark):
         assert r["first"].doc_id == least[roots[fp]]
 
 
+def test_query_against_all_pairs(spark):
+    """The components of every pair of fingerprints within two bits, over the whole table."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = simhash.near_duplicates(docs, ["doc_id"]).select("doc_id", "fp", F.col("first.doc_id").alias("root")).toPandas()
+    prints = np.unique(got["fp"].to_numpy())
+    bits = prints.view(np.uint64)
+    parent = list(range(len(prints)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(prints)):
+        for j in np.flatnonzero(np.bitwise_count(bits[i + 1 :] ^ bits[i]) <= 2).tolist():
+            parent[find(i)] = find(i + 1 + j)
+    group = {p: find(i) for i, p in enumerate(prints.tolist())}
+    least = got.assign(g=got["fp"].map(group)).groupby("g")["doc_id"].min()
+    assert (got["fp"].map(group).map(least) == got["root"]).all() and len(least) < len(prints)
+
+
 def test_copies_with_changed_words_go(spark):
     rnd = random.Random(7)
     vocabulary = [f"w{i}" for i in range(3000)]

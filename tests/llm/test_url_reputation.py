@@ -89,3 +89,13 @@ def test_whole_operator(spark):
     assert verdicts == {("bad.site.org", "block"), ("fine.site.org", "allow"), ("", "allow"), ("a.com", "allow")}
     assert U.filter_urls(pages.limit(0), labels, RULES).count() == 0
     assert {r.verdict for r in U.filter_urls(pages, labels.limit(0), RULES).collect()} == {"allow"}
+
+
+def test_labels_of_any_type_and_own_suffixes(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}.shop.example.zz/doc/{i}", "x") for i in range(60)] + [(99, None, "x"), (99, None, "x"), (100, "http://" + "a" * 500_000 + "/", "x")], "page_id long, url string, host string")
+    labels = spark.createDataFrame([(str(i), int(i % 3 > 0)) for i in range(60)] + [("no number", 1), (None, 1), ("7", None)], "doc_id string, quality int")
+    got = U.filter_urls(pages, labels, []).collect()
+    assert len(got) == 63 and {r.verdict for r in got if r.host.startswith("h0")} == {"block"} and {r.verdict for r in got if r.host[:2] in ("h1", "h2")} == {"allow"}
+    assert [r.path for r in got if r.page_id == 99] == ["", ""]
+    suffix = spark.createDataFrame([("h0.shop.example.zz",)], "h string").select(U.suffix_of(F.col("h"), ("example.zz",)).alias("s")).first().s
+    assert suffix == "example.zz"
