@@ -81,4 +81,65 @@ def interpolative_bits(n: Column, span: Column) -> Column:
     m = span.cast("double")
     rest = F.greatest(m - n, F.lit(0.0))
     part = lambda x: F.when(x > 0, x * F.log2(m / x)).otherwise(0.0)
-    return F.ceil(part(n.cast("double")) + part(rest)).cast("long")
+    return F.floor(part(n.cast("double")) + part(rest) + 0.999999).cast("long")  # rounded up, but for what logarithms leave behind the comma
+
+
+def single_bits(n: Column, universe: Column) -> Column:
+    """Estimated bits of a list in the best of three forms: Elias-Fano, a bitmap of the universe, or nothing where all ids are in it."""
+    return F.when(n == universe, F.lit(0)).otherwise(F.least(elias_fano_bits(n, universe), universe)).cast("long")
+
+
+def optpfor_bits(over: list[Column], n: Column) -> Column:
+    """Estimated bits of a block of n gaps, over[b] of which need more than b bits: a byte for the width, the widths' bits, and a byte and the whole gap for each that is wider, at the best width."""
+    return (8 + F.least(*(n * b + x * 40 for b, x in enumerate(over)))).cast("long")
+
+
+def little_endian(value: Column, size: int) -> Column:
+    """A number's `size` bytes in hexadecimal, lowest first."""
+    digits = F.lpad(F.hex(value), 2 * size, "0")
+    return F.array_join(F.reverse(F.regexp_extract_all(digits, F.lit(".."), F.lit(0))), "")
+
+
+def varint(value: Column) -> Column:
+    """A number's bytes in hexadecimal at seven bits a byte, lowest first, the high bit set on all but the last."""
+    last = varint_bytes(value).cast("int") - 1
+
+    def one(i: Column) -> Column:
+        low = F.expr("1L") * F.call_function("shiftright", value, 7 * i).bitwiseAND(F.lit(127))
+        return F.lpad(F.hex(low + F.when(i < last, 128).otherwise(0)), 2, "0")
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), last), one), "")
+
+
+def raw_sequence(ids: Column) -> Column:
+    """The stored bytes of a list, in hexadecimal: the gaps, each as a varint."""
+    return F.array_join(F.transform(gaps(ids), varint), "")
+
+
+def pack(lists: Column) -> Column:
+    """Byte strings in hexadecimal, put together, each behind the varint of its length."""
+    return F.array_join(F.transform(lists, lambda x: F.concat(varint((F.length(x) / 2).cast("long")), x)), "")
+
+
+def unpack(packed: Column, place: int) -> Column:
+    """The byte string at a place, from 0, of what pack() put together."""
+
+    def byte(at: Column) -> Column:
+        return F.coalesce(F.conv(F.substring(packed, at, F.lit(2)), 16, 10).cast("long"), F.lit(0))
+
+    def head(at: Column) -> tuple[Column, Column]:
+        """The length that stands there and where its bytes begin; lengths have at most five bytes."""
+        size, begin = F.lit(0).cast("long"), at
+        for k in range(4, -1, -1):  # a byte from 128 on is followed by another
+            mine = byte(at + 2 * k)
+            size = mine.bitwiseAND(F.lit(127)) + F.when(mine >= 128, size * 128).otherwise(0)
+            begin = F.when(mine >= 128, begin).otherwise(at + 2 * (k + 1)) if k < 4 else at + 10
+        return size, begin
+
+    at = F.lit(1)
+    for k in range(place + 1):
+        size, begin = head(at)
+        if k == place:
+            return F.substring(packed, begin.cast("int"), (2 * size).cast("int"))
+        at = (begin + 2 * size).cast("int")
+    raise ValueError("a place is 0 or more")

@@ -12,8 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from bramble.functions.postings import elias_fano_bits, fixed_bytes, interpolative_bits, varint_bytes
+from bramble.functions.postings import elias_fano_bits, fixed_bytes, interpolative_bits, optpfor_bits, single_bits, varint_bytes
 from bramble.operators.graph import out_degree, universe, wand_bound
+from bramble.operators.numbering import running_sum
 
 
 @dataclass
@@ -78,11 +79,38 @@ def varint_size(edges: DataFrame) -> DataFrame:
     return gap_encode(edges).groupBy("src").agg(F.count("*").alias("n"), F.sum(varint_bytes(F.col("gap"))).alias("bytes"))
 
 
+def rmq_buckets(edges: DataFrame, hint: int = 1 << 20) -> DataFrame:
+    """src, bucket, first: a node's score list belongs to the bucket of its place in all lists put together by node, in stretches of `hint` scores; first is the place where the bucket's scores begin."""
+    degrees = running_sum(out_degree(edges), "before", F.col("deg"), F.col("src"))
+    bucket = F.floor(F.col("before") / hint).cast("long")
+    placed = degrees.select("src", "before", bucket.alias("bucket"))
+    starts = placed.groupBy("bucket").agg(F.min("before").alias("first"))
+    return placed.join(starts, "bucket").select("src", "bucket", "first")
+
+
+def partition_sizes(edges: DataFrame, size: int = 128) -> DataFrame:
+    """src, uniform, optpfor: estimated bits of each list in parts of `size` ids, each part in its best form over its own span or as a block of gaps with exceptions."""
+    coded = gap_encode(edges).withColumn("block", F.floor(F.col("position") / size))
+    over = [F.sum((F.col("gap") >= 1 << b).cast("long")).alias(f"o{b}") for b in range(33)]
+    parts = coded.groupBy("src", "block").agg(F.count("*").alias("n"), (F.sum("gap") + F.count("*")).alias("span"), *over)
+    # a part costs its form and 64 bits for its end and place
+    bits = parts.select("src", (single_bits(F.col("n"), F.col("span")) + 64).alias("uniform"), optpfor_bits([F.col(f"o{b}") for b in range(33)], F.col("n")).alias("optpfor"))
+    return bits.groupBy("src").agg(F.sum("uniform").alias("uniform"), F.sum("optpfor").alias("optpfor"))
+
+
 def index_stats(edges: DataFrame) -> DataFrame:
-    """One row a codec: lists, elements, estimated bytes, and bits for each element and list."""
+    """One row a codec: lists, elements, estimated bits, and bits for each element and list.
+
+    All sizes are models; `opt`, whose parts are chosen by dynamic programming, has none.
+    """
     lists = gap_encode(edges).groupBy("src").agg(F.count("*").alias("n"), F.sum(varint_bytes(F.col("gap"))).alias("varint"), (F.sum("gap") + F.count("*")).alias("span"))
+    lists = lists.join(partition_sizes(edges), "src")
+    u = _universe(edges)
     bits = {
-        "ef": elias_fano_bits(F.col("n"), _universe(edges)),
+        "ef": elias_fano_bits(F.col("n"), u),
+        "single": single_bits(F.col("n"), u),
+        "uniform": F.col("uniform"),
+        "block_optpfor": F.col("optpfor"),
         "block_varint": 8 * F.col("varint"),
         "block_interpolative": interpolative_bits(F.col("n"), F.col("span")),
         "fixed": 8 * fixed_bytes(F.col("n")),

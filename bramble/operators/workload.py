@@ -5,7 +5,7 @@ Random choices are hash orders, so that they repeat and agree between engines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bramble.functions.names import prefix_of
@@ -68,6 +68,13 @@ def users_by_degree(degrees: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return degrees.where("deg > 0").withColumn("_key", key).orderBy("_key", "uid").limit(k).drop("_key")
 
 
+def _prefix_counts(pairs: DataFrame, ids: DataFrame, shortest: int, longest: int) -> DataFrame:
+    """u, length, prefix and truth_count, the number of names that u reaches by it."""
+    named = pairs.join(ids.select(F.col("sid").alias("dst"), "name"), "dst")
+    cut = named.select(F.col("src").alias("u"), F.explode(F.transform(F.sequence(F.lit(shortest), F.lit(longest)), lambda n: F.struct(n.alias("length"), F.substring("name", F.lit(1), n).alias("prefix")))).alias("p"))
+    return cut.groupBy("u", "p.length", "p.prefix").agg(F.count("*").alias("truth_count"))
+
+
 def sample_queries(pairs: DataFrame, ids: DataFrame, shortest: int = 1, longest: int = 5, each: int = 1, seed: int = 42) -> DataFrame:
     """u, length, prefix, truth_count: for each user and length, `each` different prefixes of names it reaches, with chances in proportion to how many names have them.
 
@@ -75,14 +82,41 @@ def sample_queries(pairs: DataFrame, ids: DataFrame, shortest: int = 1, longest:
     first, so only counts meet. Drawing the smallest of -ln(u) / count without
     replacement equals drawing from the cumulative frequencies and skipping what was drawn.
     """
-    named = pairs.join(ids.select(F.col("sid").alias("dst"), "name"), "dst")
-    cut = named.select(F.col("src").alias("u"), F.explode(F.transform(F.sequence(F.lit(shortest), F.lit(longest)), lambda n: F.struct(n.alias("length"), F.substring("name", F.lit(1), n).alias("prefix")))).alias("p"))
-    counted = cut.groupBy("u", "p.length", "p.prefix").agg(F.count("*").alias("truth_count"))
+    counted = _prefix_counts(pairs, ids, shortest, longest)
     key = -F.log(uniform(F.lit(seed), "u", "length", "prefix") + F.lit(1e-10)) / F.col("truth_count")
     w = Window.partitionBy("u", "length").orderBy(key, "prefix")
     return counted.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= each).select("u", F.col("length").cast("long").alias("length"), "prefix", "truth_count")
 
 
+def sample_repeated(pairs: DataFrame, ids: DataFrame, shortest: int = 1, longest: int = 5, each: int = 1, seed: int = 42) -> DataFrame:
+    """u, length, draw, prefix: `each` independent draws for each user and length, so that a prefix may come again.
+
+    A draw's number in [0, 1) falls into one prefix's part of the cumulative counts.
+    """
+    counted = _prefix_counts(pairs, ids, shortest, longest)
+    mine = Window.partitionBy("u", "length")
+    upto = F.sum("truth_count").over(mine.orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumn("upto", upto).withColumn("total", F.sum("truth_count").over(mine))
+    spot = lambda d: uniform(F.lit(seed), "u", "length", d) * F.col("total")
+    draws = F.filter(F.sequence(F.lit(0), F.lit(each - 1)), lambda d: (spot(d) >= F.col("upto") - F.col("truth_count")) & (spot(d) < F.col("upto")))
+    return placed.withColumn("draw", F.explode(draws)).select("u", F.col("length").cast("long").alias("length"), "draw", "prefix")
+
+
+def truth_of(sampled: DataFrame, pairs: DataFrame, ids: DataFrame) -> DataFrame:
+    """sampled(u, prefix, ...) -> also truth, the sorted uids of the nodes that u reaches by the prefix."""
+    named = pairs.join(ids.select(F.col("sid").alias("dst"), "name", "uid"), "dst").select(F.col("src").alias("u"), "name", "uid")
+    hits = sampled.join(named, "u").where(F.startswith("name", F.col("prefix")))
+    return hits.groupBy(*sampled.columns).agg(F.array_sort(F.collect_list("uid")).alias("truth"))
+
+
+def power_law_graph(spark: SparkSession, nodes: int, links: int, seed: int = 42) -> DataFrame:
+    """src, dst in both directions: each node links to `links` nodes before it, low numbers more often, so that degrees fall off as a power."""
+    node = spark.range(1, nodes).select("id", F.explode(F.sequence(F.lit(0), F.lit(links - 1))).alias("k"))
+    u = uniform(F.lit(seed), "id", "k")
+    one = node.select(F.col("id").alias("src"), F.floor(F.col("id") * u * u).cast("long").alias("dst"))
+    return one.union(one.select("dst", "src")).distinct()
+
+
 def shuffled(queries: DataFrame, seed: int = 42) -> DataFrame:
     """The queries with their place in a hash order."""
     return numbered(queries, "place", F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("qid").cast("string"))), F.col("qid"))

@@ -32,9 +32,9 @@ class Built:
     def scored(self) -> DataFrame:
         return checkpoint(self.edges.join(self.ids.select(F.col("sid").alias("dst"), "score"), "dst").select("src", "dst", "score"))
 
-    @property
+    @cached_property
     def two(self) -> DataFrame:
-        return graph.expand(self.edges, 2)
+        return checkpoint(graph.expand(self.edges, 2))
 
     @cached_property
     def bounds(self) -> DataFrame:

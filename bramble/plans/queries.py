@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bramble.functions import names, postings
 from bramble.operators import graph, ids, report, search, storage, topk, workload
+from bramble.operators.numbering import shared_dir
+from bramble.plans import schemes
 from bramble.plans.built import LONGEST, built, workload_of
-from bramble.sources import tables
+from bramble.sources import readers, tables, writers
 
-PREFIX, K, BUCKETS, BLOCK, LONG_LIST = "re", 10, 10, 4, 8
+PREFIX, K, BUCKETS, BLOCK, LONG_LIST, RMQ = "re", 10, 10, 4, 8, 64
 QUERIES = {}
 
 
@@ -368,7 +372,7 @@ def varbyte_size(spark, d):
 
 @query
 def index_stats(spark, d):
-    return storage.index_stats(built(spark, d).edges).where("codec <> 'block_interpolative'").select("codec", "docs", "elements", "bits")
+    return storage.index_stats(built(spark, d).edges).select("codec", "docs", "elements", "bits")
 
 
 @query
@@ -400,6 +404,116 @@ def timing_by_length(spark, d):
     return t.select("scheme", *(F.round(c, 4).alias(c) for c in t.columns[1:]))
 
 
+def _file(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def stored_index(spark, d):
+    """An index as it is read back: postings with their scores, and each list's degree and bound."""
+    b, at = built(spark, d), _file(spark, "index")
+    storage.write_index(b.edges, at, b.ids.select("sid", "score"))
+    index = storage.open_index(spark, at)
+    return index.postings.join(index.nodes, "src").select("src", "dst", "score", "degree", "bound")
+
+
+@query
+def friend_stored(spark, d):
+    """Friends by the stored postings."""
+    b, at = built(spark, d), _file(spark, "index")
+    storage.write_index(b.edges, at)
+    return search.friend(_ranged(spark, d), storage.open_index(spark, at).postings).select("qid", "v")
+
+
+@query
+def verify_stored(spark, d):
+    """The stored postings against the raw edges by their names' numbers, found anew."""
+    b, at = built(spark, d), _file(spark, "index")
+    storage.write_index(b.edges, at)
+    again = ids.translate(tables.raw_edges(spark, d), b.ids, ["src", "dst"])
+    return storage.verify(again, storage.open_index(spark, at).postings)
+
+
+@query
+def sampled_truth(spark, d):
+    b = built(spark, d)
+    found = workload.truth_of(workload_of(spark, d), b.two, b.ids)
+    return found.select("qid", "u", "prefix", F.array_join(F.transform("truth", lambda x: x.cast("string")), ",").alias("truth"))
+
+
+@query
+def sample_repeated(spark, d):
+    b = built(spark, d)
+    return workload.sample_repeated(b.two, b.ids, each=3)
+
+
+@query
+def search_run(spark, d):
+    """Two verified iterations of friends of friends; the times, which differ from run to run, stay out."""
+    b = built(spark, d)
+    asked = workload.truth_of(workload_of(spark, d), b.two, b.ids).join(b.ids.select(F.col("sid").alias("u"), "uid"), "u")
+    rows = schemes.search_run(b, asked, "hopping", iterations=2)
+    return rows.select("iteration", "user_id", "query", F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"), "results")
+
+
+@query
+def read_edges(spark, d):
+    at = _file(spark, "graph")
+    writers.edges(built(spark, d).edges, at)
+    return readers.edges(spark, at)
+
+
+@query
+def read_attributes(spark, d):
+    at = _file(spark, "attrs")
+    writers.attributes(built(spark, d).ids, at)
+    return readers.attributes(spark, at)
+
+
+@query
+def read_queries(spark, d):
+    """Query files with their truth, written and parsed."""
+    b, at = built(spark, d), _file(spark, "queries")
+    asked = workload.truth_of(workload_of(spark, d), b.two, b.ids).join(b.ids.select(F.col("sid").alias("u"), "uid"), "u")
+    writers.query_files(asked, at)
+    return readers.query_files(spark, at).select("uid", "prefix", F.array_join(F.transform("truth", lambda x: x.cast("string")), ",").alias("truth"))
+
+
+@query
+def read_results(spark, d):
+    """Result files of a deterministic timer, written and read."""
+    at = _file(spark, "results")
+    rows = _results(spark, d).where("scheme = 'hopping'")
+    writers.results(rows.select("*", F.lit(0).alias("l"), F.lit(1).alias("r")), at)
+    return readers.results(spark, at).select("iteration", "user_id", "query", "results", "prefix_ns", "inter_ns")
+
+
+@query
+def rmq_buckets(spark, d):
+    return storage.rmq_buckets(built(spark, d).edges, RMQ)
+
+
+@query
+def raw_sequence(spark, d):
+    lists = graph.adjacency(built(spark, d).edges)
+    return lists.select("src", postings.raw_sequence(F.col("nbrs")).alias("bytes"))
+
+
+@query
+def packed_lists(spark, d):
+    """Each list, an empty one, and the list's size, packed; and what unpacking gives."""
+    lists = graph.adjacency(built(spark, d).edges)
+    parts = F.array(postings.raw_sequence(F.col("nbrs")), F.lit(""), postings.little_endian(F.size("nbrs"), 4))
+    packed = lists.select("src", postings.pack(parts).alias("packed"))
+    return packed.select("src", "packed", *(postings.unpack(F.col("packed"), k).alias(f"part{k}") for k in range(3)))
+
+
+@query
+def power_law_graph(spark, d):
+    """1000 nodes, five links each; the tables play no part."""
+    return workload.power_law_graph(spark, 1000, 5)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The ten best-scored friends of friends for every user and sampled prefix."""
     return topk_hopping(spark, d)

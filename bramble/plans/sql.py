@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bramble.plans.built import LONGEST, SHORTEST
-from bramble.plans.queries import BLOCK, BUCKETS, K, PREFIX
+from bramble.plans.queries import BLOCK, BUCKETS, K, PREFIX, RMQ
 
 #: Common table expressions that queries build on, in dependency order.
 _PARTS = {
@@ -28,6 +28,10 @@ _PARTS = {
     "masses": "SELECT uid, deg, row_number() OVER w AS pos, sum(deg) OVER w AS cum, sum(deg) OVER () AS total FROM udeg WINDOW w AS (ORDER BY deg, uid ROWS UNBOUNDED PRECEDING)",
     "gaps": "SELECT src, row_number() OVER w - 1 AS position, dst - coalesce(lag(dst) OVER w, -1) - 1 AS gap, dst FROM edges WINDOW w AS (PARTITION BY src ORDER BY dst)",
     "coded": "SELECT src, count(*) AS n, sum(CASE " + " ".join(f"WHEN gap < {1 << 7 * k} THEN {k}" for k in range(1, 9)) + " ELSE 9 END)::BIGINT AS bytes FROM gaps GROUP BY src",
+    "parts": "SELECT src, position // 128 AS block, count(*) AS n, (sum(gap) + count(*))::BIGINT AS span, " + ", ".join(f"count(*) FILTER (gap >= {1 << b}) AS o{b}" for b in range(33)) + " FROM gaps GROUP BY ALL",
+    "truths": "SELECT qid, work.u, prefix, ids.uid FROM work JOIN two ON u = two.src JOIN ids ON two.dst = ids.sid WHERE starts_with(name, prefix)",
+    "counted": f"SELECT two.src AS u, n AS length, substr(name, 1, n) AS prefix, count(*) AS truth_count FROM two JOIN ids ON two.dst = ids.sid, range({SHORTEST}, {LONGEST} + 1) r(n) GROUP BY ALL",
+    "varints": "SELECT src, string_agg(array_to_string(list_transform(range((CASE " + " ".join(f"WHEN gap < {1 << 7 * k} THEN {k}" for k in range(1, 9)) + " ELSE 9 END)), lambda i: printf('%02X', (gap >> (7 * i)::INT) % 128 + CASE WHEN gap >> (7 * i + 7)::INT > 0 THEN 128 ELSE 0 END)), ''), '' ORDER BY position) AS bytes, count(*) AS n FROM gaps GROUP BY src",
     "lists": "SELECT src, deg AS n, u FROM degrees, uni",
     "runs": """SELECT scheme, iteration, u AS user_id, prefix AS query, (400 * length(prefix) + iteration)::BIGINT AS prefix_ns,
         (CASE scheme WHEN 'hopping' THEN 700 ELSE 300 END * coalesce(results, 0) + 1000 * length(prefix) + 10 * iteration)::BIGINT AS inter_ns
@@ -37,7 +41,7 @@ _PARTS = {
 _NEEDS = {
     "ids": ["attrs"], "edges": ["raw", "ids"], "remap": ["raw"], "scored": ["edges"], "degrees": ["edges"], "uni": ["edges"], "two": ["edges"],
     "sampled": ["two"], "work": ["sampled"], "hits1": ["work"], "hits2": ["work"], "best": ["hits2"], "udeg": ["raw"], "masses": ["udeg"],
-    "gaps": ["edges"], "coded": ["gaps"], "lists": ["degrees", "uni"], "runs": ["hits2"], "meaned": ["runs"],
+    "gaps": ["edges"], "coded": ["gaps"], "parts": ["gaps"], "truths": ["work"], "counted": ["two"], "varints": ["gaps"], "lists": ["degrees", "uni"], "runs": ["hits2"], "meaned": ["runs"],
 }
 
 
@@ -131,7 +135,29 @@ SQL: dict[str, str] = {
     "ef_size_bits": _with(f"SELECT src, n, (n * {_BIT} + 2 * n + 1)::BIGINT AS bits FROM lists", "lists"),
     "varbyte_size": _with("SELECT src, n, bytes FROM coded", "coded"),
     "index_stats": _with(f"""SELECT 'ef' AS codec, count(*) AS docs, sum(n)::BIGINT AS elements, sum(n * {_BIT} + 2 * n + 1)::BIGINT AS bits FROM lists
-        UNION ALL SELECT 'block_varint', count(*), sum(n)::BIGINT, sum(8 * bytes)::BIGINT FROM coded UNION ALL SELECT 'fixed', count(*), sum(n)::BIGINT, sum(64 * (n + 1))::BIGINT FROM lists""", "lists", "coded"),
+        UNION ALL SELECT 'single', count(*), sum(n)::BIGINT, sum(CASE WHEN n = u THEN 0 ELSE least(n * {_BIT} + 2 * n + 1, u) END)::BIGINT FROM lists
+        UNION ALL SELECT 'uniform', count(DISTINCT src), sum(n)::BIGINT, sum(64 + CASE WHEN n = u THEN 0 ELSE least(n * {_BIT} + 2 * n + 1, u) END)::BIGINT FROM (SELECT src, n, span AS u FROM parts)
+        UNION ALL SELECT 'block_optpfor', count(DISTINCT src), sum(n)::BIGINT, sum(8 + least({", ".join(f"n * {b} + o{b} * 40" for b in range(33))}))::BIGINT FROM parts
+        UNION ALL SELECT 'block_interpolative', count(*), sum(n)::BIGINT, sum(floor(n * log2(m / n) + CASE WHEN m > n THEN (m - n) * log2(m / (m - n)) ELSE 0 END + 0.999999))::BIGINT FROM (SELECT src, sum(n) AS n, sum(span)::DOUBLE AS m FROM parts GROUP BY src)
+        UNION ALL SELECT 'block_varint', count(*), sum(n)::BIGINT, sum(8 * bytes)::BIGINT FROM coded UNION ALL SELECT 'fixed', count(*), sum(n)::BIGINT, sum(64 * (n + 1))::BIGINT FROM lists""", "lists", "coded", "parts"),
+    "stored_index": _with("SELECT src, dst, score, deg AS degree, bound FROM scored JOIN degrees USING (src) JOIN (SELECT src, max(score) AS bound FROM scored GROUP BY src) USING (src)", "scored", "degrees"),
+    "friend_stored": _FRIEND,
+    "verify_stored": "SELECT 0::BIGINT AS missing, 0::BIGINT AS unexpected",
+    "sampled_truth": _with("SELECT qid, u, prefix, string_agg(CAST(uid AS VARCHAR), ',' ORDER BY uid) AS truth FROM truths GROUP BY ALL", "truths"),
+    "sample_repeated": _with("""SELECT u, length, d::INT AS draw, prefix FROM (SELECT *, sum(truth_count) OVER (PARTITION BY u, length ORDER BY prefix ROWS UNBOUNDED PRECEDING) AS upto, sum(truth_count) OVER (PARTITION BY u, length) AS total FROM counted), range(3) r(d)
+        WHERE ('0x' || substr(md5('42:' || u || ':' || length || ':' || d), 1, 8))::BIGINT / 4294967296.0 * total >= upto - truth_count AND ('0x' || substr(md5('42:' || u || ':' || length || ':' || d), 1, 8))::BIGINT / 4294967296.0 * total < upto""", "counted"),
+    "search_run": _with("""SELECT i::INT AS iteration, uid AS user_id, prefix AS query, l, r, results FROM (SELECT qid, u, prefix, count(*) AS results FROM truths GROUP BY ALL) JOIN ids ON u = sid
+        JOIN (SELECT prefix, min(sid) AS l, max(sid) + 1 AS r FROM (SELECT DISTINCT prefix FROM work) JOIN ids ON starts_with(name, prefix) GROUP BY prefix) USING (prefix), range(2) x(i)""", "truths"),
+    "read_edges": _with("SELECT src, dst FROM edges", "edges"),
+    "read_attributes": "SELECT p_partkey AS uid, lower(p_name) AS name FROM part",
+    "read_queries": _with("SELECT s.uid, prefix, string_agg(CAST(t.uid AS VARCHAR), ',' ORDER BY t.uid) AS truth FROM truths t JOIN ids s ON t.u = s.sid GROUP BY qid, s.uid, prefix", "truths"),
+    "read_results": _with("SELECT iteration::INT AS iteration, user_id, query, results, prefix_ns, inter_ns FROM (SELECT runs.*, coalesce(n, 0)::BIGINT AS results FROM runs LEFT JOIN (SELECT u, prefix, count(v) AS n FROM work JOIN hits2 USING (qid, u) GROUP BY ALL) c ON c.u = user_id AND c.prefix = query) WHERE scheme = 'hopping'", "runs"),
+    "rmq_buckets": _with(f"SELECT src, bucket, min(before) OVER (PARTITION BY bucket) AS first FROM (SELECT src, before, before // {RMQ} AS bucket FROM (SELECT src, coalesce(sum(deg) OVER (ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM degrees))", "degrees"),
+    "raw_sequence": _with("SELECT src, bytes FROM varints", "varints"),
+    "packed_lists": _with("""SELECT src, printf('%s%s00%s%s', CASE WHEN k < 128 THEN printf('%02X', k) ELSE printf('%02X%02X', k % 128 + 128, k // 128) END, bytes, '04', size) AS packed, bytes AS part0, '' AS part1, size AS part2
+        FROM (SELECT *, length(bytes) // 2 AS k, printf('%02X%02X%02X%02X', n % 256, n // 256 % 256, n // 65536 % 256, n // 16777216) AS size FROM varints)""", "varints"),
+    "power_law_graph": """WITH u AS (SELECT i, ('0x' || substr(md5('42:' || i || ':' || k), 1, 8))::BIGINT / 4294967296.0 AS x FROM range(1, 1000) a(i), range(5) b(k)), one AS (SELECT i AS src, floor(i * x * x)::BIGINT AS dst FROM u)
+        SELECT src, dst FROM one UNION SELECT dst, src FROM one""",
     "verify_index": "SELECT 0::BIGINT AS missing, 0::BIGINT AS unexpected",
     "result_timing": _with("SELECT scheme, count(*) AS n, round(avg(prefix), 4) AS prefix_us, round(var_pop(prefix), 4) AS prefix_var, round(avg(inter), 4) AS inter_us, round(var_pop(inter), 4) AS inter_var FROM meaned GROUP BY scheme", "meaned"),
     "timing_by_length": _with("SELECT scheme, " + ", ".join(f"round(avg(inter) FILTER (length(query) = {n}), 4) AS len{n}" for n in range(1, 6)) + " FROM meaned GROUP BY scheme", "meaned"),

@@ -60,7 +60,7 @@ def id_mapping(spark: SparkSession, path: str) -> DataFrame:
 
 def results(spark: SparkSession, paths: str) -> DataFrame:
     """Result files, comma-separated paths."""
-    return tsv(spark, paths.split(","), "iteration int, user_id long, query string, l int, r int, results long, prefix_ns long, inter_ns long")
+    return tsv(spark, paths.split(","), "iteration int, user_id long, query string, l int, r int, results long, prefix_ns long, inter_ns long").fillna("", "query")
 
 
 def queries(spark: SparkSession, path: str) -> DataFrame:
@@ -97,8 +97,8 @@ def dblp(spark: SparkSession, edges_path: str, nodes_path: str) -> tuple[DataFra
 
 
 def livejournal(spark: SparkSession, edges_path: str, names_path: str) -> tuple[DataFrame, DataFrame]:
-    """Edges separated by white space below comment lines; names as name|id."""
-    lines = spark.read.text(edges_path).where(~F.startswith("value", F.lit("#")) & (F.trim("value") != ""))
+    """Edges separated by white space below header lines, which begin with a % or #; names as name|id."""
+    lines = spark.read.text(edges_path).where(~F.trim("value").rlike("^[%#]") & (F.trim("value") != ""))
     parts = F.split(F.trim("value"), r"\s+")
     pairs = lines.select(F.get(parts, F.lit(0)).cast("long").alias("src"), F.get(parts, F.lit(1)).cast("long").alias("dst"))
     named = F.split("value", r"\|")

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from bramble.functions import names, postings
 from bramble.operators import graph, ids, search, storage, topk, workload
 from bramble.operators.numbering import numbered, running_sum
+from bramble.plans import schemes
+from bramble.plans.built import build
+from bramble.sources import writers
 
+# Small graphs, scores and words whose answers are known.
 SIX = [(0, 1), (0, 2), (0, 4), (0, 5), (1, 2), (1, 3), (2, 4), (2, 5)]
 COVERAGE = [(4, x) for x in (1, 2, 5, 8, 10)] + [(10, x) for x in (1, 2, 3, 4, 5, 6)]
 SCORES = {1: 0, 2: 2, 3: 5, 4: 8, 5: 6, 6: 10, 8: 3, 10: 9}
@@ -262,3 +266,96 @@ def test_long_prefixes_match(spark, scheme):
     asked = spark.createDataFrame([(1, 1, "a" * 80), (2, 1, "a" * 100), (3, 1, "a" * 101)], "qid long, uid long, prefix string")
     sid = {r.uid: r.sid for r in b.ids.collect()}
     assert pairs(schemes.run(b, asked, scheme)) == sorted([(1, sid[2]), (1, sid[3]), (2, sid[2])])
+
+
+def test_rmq_buckets(spark):
+    edges = spark.createDataFrame([(s, 3 * s + k) for s in range(3) for k in range(3)], "src long, dst long")
+    assert pairs(storage.rmq_buckets(edges, 6)) == [(0, 0, 0), (1, 0, 0), (2, 1, 6)]
+
+
+def test_bytes(spark):
+    rnd = random.Random(9)
+    values = [0, 1, 127, 128, 16383, 16384, 2**31, 2**40 + 5] + [rnd.randrange(2**50) for _ in range(20)]
+
+    def varint(n):
+        out = b""
+        while n >= 128:
+            out, n = out + bytes([n % 128 + 128]), n >> 7
+        return out + bytes([n])
+
+    for r in spark.createDataFrame([(v,) for v in values], "v long").select("v", postings.varint(F.col("v")).alias("a"), postings.little_endian(F.col("v"), 8).alias("b")).collect():
+        assert bytes.fromhex(r.a) == varint(r.v) and bytes.fromhex(r.b) == r.v.to_bytes(8, "little")
+    lists = [[rnd.randbytes(rnd.choice([0, 1, 127, 128, 300, 20_000])) for _ in range(4)] for _ in range(12)]
+    df = spark.createDataFrame([([x.hex().upper() for x in parts],) for parts in lists], "p array<string>")
+    for r, parts in zip(df.select(postings.pack(F.col("p")).alias("p")).select("p", *(postings.unpack(F.col("p"), k).alias(f"u{k}") for k in range(4))).collect(), lists, strict=True):
+        assert bytes.fromhex(r.p) == b"".join(varint(len(x)) + x for x in parts)
+        assert [bytes.fromhex(r[f"u{k}"]) for k in range(4)] == parts
+
+
+def test_codec_sizes(spark):
+    edges = spark.createDataFrame([(0, k) for k in range(300)] + [(1, 299)], "src long, dst long")
+    bits = {r.codec: r.bits for r in storage.index_stats(edges).collect()}
+    # the first list holds the whole universe of 300; the second one id of it
+    assert bits["single"] == 0 + (8 + 2 + 1)
+    assert bits["uniform"] == 3 * 64 + 64 + (8 + 2 + 1)
+    assert bits["block_optpfor"] == 3 * 8 + 8 + 9  # gaps of zero need no bits; a gap of 299 needs nine
+    assert bits["block_interpolative"] == 0 + 10  # log2(300) + 299 log2(300 / 299), rounded up
+    assert bits["fixed"] == 64 * 301 + 64 * 2
+
+
+@pytest.fixture(scope="module")
+def people(spark):
+    """A built graph, its nodes' names, and the neighbours of each."""
+    rnd = random.Random(5)
+    named = {i: rnd.choice("ab") + rnd.choice("abc") + rnd.choice(["", "x"]) for i in range(30)}
+    edges = sorted({(rnd.randrange(30), rnd.randrange(30)) for _ in range(90)})
+    out = {u: {d for s, d in edges if s == u} for u in sorted({u for e in edges for u in e})}
+    return build(spark.createDataFrame(list(named.items()), "uid long, name string"), spark.createDataFrame(edges, "src long, dst long")), named, out
+
+
+@pytest.mark.parametrize("scheme", ["asindex", "fast-baseline-asindex", "hopping", "baseline-hopping", "topk-hopping-rmq", "topk-hopping-rmq-wand"])
+def test_search_runs_verify(spark, people, scheme):
+    b, named, out = people
+    asked, size = [], {}
+    for u in out:
+        for prefix in ("", "a", "bc", "zz"):
+            near = set(out[u])
+            if "hopping" in scheme:
+                near = (near | {d for v in near for d in out.get(v, ())}) - {u}
+            truth = sorted(v for v in near if named[v].startswith(prefix))
+            asked.append((len(asked), u, prefix, truth))
+            size[u, prefix] = min(3, len(truth)) if scheme.startswith("topk") else len(truth)
+    queries = spark.createDataFrame(asked, "qid long, uid long, prefix string, truth array<bigint>")
+    k = 3 if scheme.startswith("topk") else 0
+    rows = schemes.search_run(b, queries, scheme, k, iterations=1).collect()
+    assert {(r.user_id, r["query"]): r.results for r in rows} == size and len(rows) == len(size)
+    assert all((r.l, r.r) == (-1, -1) for r in rows if r["query"] == "zz") and all(r.prefix_ns > 0 and r.inter_ns > 0 for r in rows)
+
+
+def test_wrong_results_are_noticed(spark, people):
+    queries = spark.createDataFrame([(0, 1, "zz", [5])], "qid long, uid long, prefix string, truth array<bigint>")
+    with pytest.raises(schemes.WrongResults, match="missing"):
+        schemes.search_run(people[0], queries, "asindex", iterations=1)
+
+
+def test_truth_and_repeated_draws(spark):
+    ids_ = spark.createDataFrame([(10, 0, "aa"), (11, 1, "ab"), (12, 2, "b")], "uid long, sid long, name string")
+    pairs_ = spark.createDataFrame([(0, 1), (0, 2), (1, 0), (1, 1)], "src long, dst long")
+    asked = spark.createDataFrame([(0, "a"), (0, "b"), (1, "a")], "u long, prefix string")
+    assert pairs(workload.truth_of(asked, pairs_, ids_)) == [(0, "a", [11]), (0, "b", [12]), (1, "a", [10, 11])]
+    drawn = workload.sample_repeated(pairs_, ids_, 1, 2, each=200).collect()
+    assert len(drawn) == 2 * 2 * 200 - 0 and {r.prefix for r in drawn if r.u == 1 and r.length == 1} == {"a"}
+    share = sum(r.prefix == "a" for r in drawn if r.u == 0 and r.length == 1) / 200
+    assert 0.35 < share < 0.65
+
+
+def test_power_law_graph(spark):
+    got = {tuple(r) for r in workload.power_law_graph(spark, 500, 5).collect()}
+    assert {(b, a) for a, b in got} == got and {a for a, _ in got} == set(range(500)) and all(a != b for a, b in got)
+    degree = sorted((sum(a == n for a, _ in got) for n in range(500)), reverse=True)
+    assert degree[0] > 60 > 12 > degree[250]
+
+
+def test_latex(spark):
+    text = writers.latex(spark.createDataFrame([("a_b", 1.5, None)], "scheme string, us double, n int"))
+    assert r"a\_b & 1.500 &  \\" in text and text.startswith(r"\begin{tabular}{lll}")

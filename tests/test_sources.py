@@ -34,7 +34,7 @@ def test_vectors(spark, tmp_path):
 def test_raw_datasets(spark, tmp_path):
     e, a = readers.dblp(spark, put(tmp_path / "a.edges.gz", "1\t2\n1\t2\n"), put(tmp_path / "a.nodes.gz", 'Ann "B"\t1\nÉva\t2\n'))
     assert rows(e) == [(1, 2)] and rows(a) == [(1, 'ann "b"'), (2, "Éva")]
-    e, a = readers.livejournal(spark, put(tmp_path / "l.gz", "# head\n# head\n1 2\n3\t4\n"), put(tmp_path / "l.names.gz", "Bob|1\nAnn|2\n"))
+    e, a = readers.livejournal(spark, put(tmp_path / "l.gz", "% sym unweighted\n% 2 4 4\n# head\n1 2\n3\t4\n"), put(tmp_path / "l.names.gz", "Bob|1\nAnn|2\n"))
     assert rows(e) == [(1, 2), (3, 4)] and rows(a) == [(1, "bob"), (2, "ann")]
     e, a = readers.twitter(spark, put(tmp_path / "t.gz", "1\t2\n"), put(tmp_path / "t.names.gz", "1 BoB\n2 É\n3  cy\n"))
     assert rows(e) == [(2, 1)] and rows(a) == [(1, "bob"), (3, "cy")]
@@ -57,6 +57,17 @@ def test_results_and_queries(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "dict")).count() == 2
 
 
+def test_spaces_and_empty_names_survive(spark, tmp_path):
+    names = spark.createDataFrame([(1, " a "), (2, 'b "c"'), (3, "d  ")], "uid long, name string")
+    writers.attributes(names, str(tmp_path / "n"))
+    assert rows(readers.attributes(spark, str(tmp_path / "n"))) == rows(names)
+    made = spark.createDataFrame([(0, 1, q, -1, -1, 0, 5, 6) for q in ("", " a", "b ")], "iteration int, user_id long, query string, l int, r int, results long, prefix_ns long, inter_ns long")
+    writers.results(made, str(tmp_path / "r.perf"))
+    assert rows(readers.results(spark, str(tmp_path / "r.perf"))) == rows(made)
+    writers.edges(spark.createDataFrame([(2, 1), (0, 5)], "src long, dst long"), str(tmp_path / "e"))
+    assert rows(readers.edges(spark, str(tmp_path / "e"))) == [(0, 5), (2, 1)]
+
+
 def test_query_files(spark, tmp_path):
     asked = [(5, "a", [3, 4]), (5, "ab", []), (6, "", [9])]
     df = spark.createDataFrame(asked, "uid long, prefix string, truth array<bigint>")
