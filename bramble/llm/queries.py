@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from bramble.llm import chat, lengths, mixing, packing, quality, secrets, simhash, tiling, toxicity, url_reputation
 from bramble.llm.common import table
 
@@ -76,7 +75,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
-    "pipeline": corpus_pipeline.run,
 }
 
 def _quality_sql() -> str:

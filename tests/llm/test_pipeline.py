@@ -83,7 +83,10 @@ def test_empty_tables(spark, tmp_path, empty):
 
 
 def test_registered(spark, small):
-    names = [n for n in queries.QUERIES if n != "pipeline"]
+    import __spark_entry__ as entry
+
+    assert entry.queries()["pipeline"] is corpus_pipeline.run and entry.queries().keys() >= queries.QUERIES.keys()
+    names = list(queries.QUERIES)
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     for n, sql in queries.SQL.items():
         assert n in queries.QUERIES and sql
