@@ -36,7 +36,8 @@ BASE = (
 )
 #: Of what the base patterns would take, nothing; else, as its group, a run up to the next place where one of them begins.
 _TAKEN = "|".join(re.sub(r"(?<!\\)\((?!\?)", "(?:", pattern) for _, pattern, *_ in BASE)
-RUN = rf"{_TAKEN}|((?:(?!{_TAKEN})[A-Za-z0-9+/_=-]){{16,}}+)"
+_SIGN = "[A-Za-z0-9+/_=-]"
+RUN = rf"{_TAKEN}|(?={_SIGN}{{16}})((?:(?!{_TAKEN}){_SIGN}){{16,}}+)"  # sixteen signs are looked for first: most words end before
 SHORTEST = 16
 ALPHABET = LOWER + UPPER + "0123456789"
 #: Rows of a table: the alphabet's characters from 1, anything else 0.
