@@ -136,10 +136,10 @@ def unpack(packed: Column, place: int) -> Column:
             begin = F.when(mine >= 128, begin).otherwise(at + 2 * (k + 1)) if k < 4 else at + 10
         return size, begin
 
-    at = F.lit(1)
-    for k in range(place + 1):
-        size, begin = head(at)
-        if k == place:
-            return F.substring(packed, begin.cast("int"), (2 * size).cast("int"))
-        at = (begin + 2 * size).cast("int")
-    raise ValueError("a place is 0 or more")
+    start = F.struct(F.lit(1).alias("begin"), F.lit(0).alias("size"))
+
+    def step(s: Column, _: Column) -> Column:
+        size, begin = head(s["begin"] + 2 * s["size"])
+        return F.struct(begin.cast("int").alias("begin"), size.cast("int").alias("size"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(place)), start, step, lambda s: F.substring(packed, s["begin"], 2 * s["size"]))
