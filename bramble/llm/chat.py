@@ -126,7 +126,6 @@ def json_fingerprint(record: Column) -> Column:
 def canonical(records: DataFrame, key: str, record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """key, fingerprint, layout and turns of JSON records."""
     known = F.array(*(F.lit(p) for p in sorted(known_paths(layouts))))
-    # a table's field paths, and the layout's, name a field of either kind alike
     rows = records.select(F.col(key), F.col(record).alias("_json"), json_paths(F.col(record)).alias("_paths"))
     hashed = lambda c: F.sha2(F.array_join(c, "\n"), 256)
     rows = rows.select(key, "_json", hashed(F.col("_paths")).alias("fingerprint"), hashed(F.filter("_paths", lambda p: F.array_contains(known, p))).alias("_known"))
