@@ -230,40 +230,44 @@ def alike(signatures: np.ndarray, one: np.ndarray, least: float) -> np.ndarray:
 def bridges(signatures: np.ndarray, node: np.ndarray, cut: int, least: float) -> list[tuple[int, int]]:
     """Pairs of nodes that join exactly the components of all pairs of members that are alike.
 
-    Members of one node count as joined. Where some lie from `cut` on, the members before
-    and those from there count as joined among themselves as far as such pairs join them,
-    and only pairs from one side to the other come back.
+    Members of one node count as joined. Where some lie from `cut` on, only pairs of a
+    member before it and one from there on count.
     """
     group, found, n = np.unique(node, return_inverse=True)[1], [], len(node)
-
-    def meet(one: slice, other: slice, said: bool) -> None:
-        for i in range(*one.indices(n)):
-            mine = group[i]
-            if (group[one] == mine).all() and (group[other] == mine).all():
-                return
-            open_ = np.flatnonzero(group[other] != mine)
-            hit = open_[alike(signatures[other][open_], signatures[i], least)]
-            kinds, at = np.unique(group[other][hit], return_index=True)
-            if len(kinds):
-                if said:
-                    found.extend((int(node[i]), int(x)) for x in node[other][hit[at]])
-                group[np.isin(group, kinds)] = mine
-
-    if cut < n:
-        meet(slice(0, cut), slice(0, cut), False)
-        meet(slice(cut, n), slice(cut, n), False)
-        meet(slice(0, cut), slice(cut, n), True)
-    else:
-        meet(slice(0, n), slice(0, n), True)
+    for i in range(cut):
+        mine, behind = group[i], cut if cut < n else i + 1
+        if (group == mine).all():
+            break
+        open_ = behind + np.flatnonzero(group[behind:] != mine)
+        hit = open_[alike(signatures[open_], signatures[i], least)]
+        kinds, at = np.unique(group[hit], return_index=True)
+        if len(kinds):
+            found.extend((int(node[i]), int(x)) for x in node[hit[at]])
+            group[np.isin(group, kinds)] = mine
     return found
 
 
+def _linked(rows: DataFrame, least: float) -> DataFrame:
+    """The distinct bridges (u, v), u < v, of rows(m, an array of (node, signature), cut)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, cuts = [], b.column(2).to_pylist()
+            for nodes, signatures, cut in zip(b.column(0), b.column(1), cuts, strict=True):
+                made = np.frombuffer(b"".join(signatures.values.to_pylist()), np.uint8).reshape(-1, BINS)
+                found += bridges(made, nodes.values.to_numpy(), cut, least)
+            yield pa.RecordBatch.from_arrays([pa.array([f(x) for x in found], pa.int64()) for f in (min, max)], ["u", "v"])
+
+    return rows.select("m.node", "m.signature", "cut").mapInArrow(run, "u long, v long").distinct()
+
+
 def similar(texts: DataFrame, radius: int = RADIUS, bits: int = SKETCH_BITS, least: float = LEAST, crowd: int = CROWD) -> DataFrame:
     """Pairs (u, v), u < v, of nodes that join exactly the components of all pairs of texts(t, node, sketches, signature) that share a bucket of any covering table and are alike.
 
     Every member of a bucket is compared with every other unless they are joined already,
     but a spanning forest comes back, so rows are linear in the members. Buckets of over
-    `crowd` members are dealt into parts, and each pair of parts is a row of its own.
+    `crowd` members are dealt into parts; the members of a part meet each other and one
+    member that all parts of the bucket meet. What that leaves apart, crossed() compares.
     Buckets of the same members count once. A bucket is named by a hash of its table and
     key, and t is a hash of the text; where hashes meet by chance, more are compared.
     """
@@ -276,22 +280,34 @@ def similar(texts: DataFrame, radius: int = RADIUS, bits: int = SKETCH_BITS, lea
     shared = checkpoint(shared)  # so that the join has exchanges of its own, which can be split
     members = shared.join(texts.select("t", "node", "signature"), ["t", "node"])
     listed = members.groupBy("b", "parts", "part").agg(F.collect_list(F.struct("node", "signature")).alias("m"))
-    small = listed.where("parts = 1").select("m", F.size("m").alias("cut"))
-    large = checkpoint(listed.where("parts > 1"))
-    other = large.select("b", F.col("part").alias("part2"), F.col("m").alias("m2"))
-    crossed = large.join(other, "b").where("part <= part2").repartition("b", "part", "part2")
-    crossed = crossed.select(F.when(F.col("part") == F.col("part2"), F.col("m")).otherwise(F.concat("m", "m2")).alias("m"), F.size("m").alias("cut"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found, cuts = [], b.column(2).to_pylist()
-            for nodes, signatures, cut in zip(b.column(0), b.column(1), cuts, strict=True):
-                made = np.frombuffer(b"".join(signatures.values.to_pylist()), np.uint8).reshape(-1, BINS)
-                found += bridges(made, nodes.values.to_numpy(), cut, least)
-            yield pa.RecordBatch.from_arrays([pa.array([f(x) for x in found], pa.int64()) for f in (min, max)], ["u", "v"])
-
-    many = small.union(crossed).select("m.node", "m.signature", "cut").mapInArrow(run, "u long, v long")
-    return many.distinct()
+    large = checkpoint(listed.where("parts > 1").select("b", "part", "m"))
+    met = large.groupBy("b").agg(F.min(F.struct("part", F.get("m", F.lit(0)).alias("one"))).alias("met")).select("b", "met.one")
+    every = listed.where("parts = 1").select("m").union(large.join(met, "b").select(F.concat("m", F.array("one"))))
+    found = _linked(every.withColumn("cut", F.size("m")), least)
+    if large.isEmpty():
+        return found
+    joined = checkpoint(found)
+    return joined.union(_linked(crossed(large, components(joined), crowd), least)).distinct()
+
+
+def crossed(large: DataFrame, joined: DataFrame, crowd: int) -> DataFrame:
+    """Rows (m, cut) for what is yet to compare in large(b, part, m), with joined(node, root) known.
+
+    Of a pair that isn't joined, one is outside the bucket's largest component. So those
+    outside, in parts of `crowd`, meet all parts of the bucket: a bucket of copies of one
+    text takes rows linear in its members, however many they are, and only texts that
+    resemble nothing take the square of their number.
+    """
+    each = large.select("b", "part", F.inline("m")).join(joined, "node", "left").select("b", "part", F.coalesce("root", "node").alias("node"), "signature")
+    each = checkpoint(each.dropDuplicates(["b", "node", "signature"]))
+    sizes = each.groupBy("b", "node").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("b").agg(F.max(F.struct("n", "node")).alias("most"), F.sum("n").alias("n")).where("most.n < n")
+    split = checkpoint(each.join(most.select("b", F.col("most.node").alias("major"), F.ceil((F.col("n") - F.col("most.n")) / crowd).cast("int").alias("deals")), "b"))
+    one = F.collect_list(F.struct("node", "signature"))
+    outside = split.where("node <> major").withColumn("deal", F.pmod(F.xxhash64("node", "signature"), F.col("deals")).cast("int"))
+    outside = outside.groupBy("b", "deal").agg(one.alias("m"))
+    whole = split.groupBy("b", "part", "deals").agg(one.alias("m2")).select("b", "part", "m2", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+    return outside.join(whole, ["b", "deal"]).repartition("b", "deal", "part").select(F.concat("m", "m2").alias("m"), F.size("m").alias("cut"))
 
 
 def _ranked(keys: list[str]) -> Column:

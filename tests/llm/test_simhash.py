@@ -208,7 +208,7 @@ def test_sketches_against_plain_python():
     assert simhash.sketches_and_signature(" \n")[1] == bytes(simhash.BINS)
 
 
-@pytest.mark.parametrize("crowd", [7, 8192])
+@pytest.mark.parametrize("crowd", [3, 7, 8192])
 def test_all_pairs_of_a_bucket_are_compared(spark, crowd):
     rnd = random.Random(11)
     base = [bytes(rnd.randrange(1, 256) for _ in range(simhash.BINS)) for _ in range(6)]
@@ -235,6 +235,18 @@ def test_all_pairs_of_a_bucket_are_compared(spark, crowd):
     assert [roots.get(i, i) for i in range(len(made))] == [find(i) for i in range(len(made))]
 
 
+def test_a_crowd_of_copies_is_compared_in_rows_linear_in_its_members(spark, monkeypatch):
+    rnd, rows, kept = random.Random(23), [], simhash.crossed
+    alike = lambda base, share: bytes(rnd.randrange(1, 256) if rnd.random() < share else x for x in base)
+    base, lone = (bytes(rnd.randrange(1, 256) for _ in range(simhash.BINS)) for _ in range(2))
+    made = [alike(base, 0.1) for _ in range(200)] + [alike(lone, 0.1) for _ in range(2)] + [bytes(rnd.randrange(1, 256) for _ in range(simhash.BINS)) for _ in range(2)]
+    monkeypatch.setattr(simhash, "crossed", lambda *a: rows.append(kept(*a)) or rows[-1])
+    texts = spark.createDataFrame([(i, i, [5], s) for i, s in enumerate(made)], "t long, node long, sketches array<bigint>, signature binary")
+    roots = {r.node: r.root for r in simhash.components(simhash.similar(texts, crowd=10)).collect()}
+    assert [roots.get(i, i) for i in range(204)] == [0] * 200 + [200, 200, 202, 203]
+    assert 0 < rows[0].count() <= 21  # one for each of the 21 parts
+
+
 def test_recall_by_similarity(spark):
     """Of pairs of texts with a five-word similarity of 0.7 or more, nearly all lose one; of those below 0.3, none do."""
     rnd = random.Random(17)
