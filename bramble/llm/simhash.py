@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bramble.llm.common import checkpoint, content_keyed, sliced, text_of
@@ -47,6 +47,10 @@ LEAST = 0.5
 BINS = 128
 #: Members of a bucket that are compared in one row.
 CROWD = 8192
+#: Sketches whose buckets are compared first; those of the others are compared for what these leave apart.
+AHEAD = 4
+#: Edges whose components one task finds, in 0.3 GB or less; more take rounds of joins.
+FEW = 1 << 21
 #: Shingles whose bits are unpacked at once: 64 bytes each.
 CHUNK = 1 << 16
 _SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -177,13 +181,37 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return two.union(many).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (u, v), in order, and the smallest node of each one's component."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, low = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while True:  # low names roots only; each round hangs those with a smaller neighbour below it
+        x, y = low[a], low[b]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[low]
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while ((up := low[low]) != low).any():
+            low = up
+
+
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """(node, root) of every node of the edges (u, v); root is the smallest node of its component.
 
-    Alternates large-star and small-star steps; each is one minimum by node and one
-    equi-join, and each round's edges go to the checkpoint folder.
+    Up to `few` edges are joined by one task. More alternate large-star and small-star
+    steps; each is one minimum by node and one equi-join, and each round's edges go to
+    the checkpoint folder.
     """
     edges, before = checkpoint(edges.select("u", "v")), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := list(batches):
+            found = roots(*(np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["node", "root"])
+
+    if edges.count() <= few:
+        return edges.coalesce(1).mapInArrow(run, "node long, root long")
     while True:  # each round lowers some node's smallest neighbour or is the last
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -261,9 +289,21 @@ def _linked(rows: DataFrame, least: float) -> DataFrame:
     return rows.select("m.node", "m.signature", "cut").mapInArrow(run, "u long, v long").distinct()
 
 
-def similar(texts: DataFrame, radius: int = RADIUS, bits: int = SKETCH_BITS, least: float = LEAST, crowd: int = CROWD) -> DataFrame:
+def similar(texts: DataFrame, radius: int = RADIUS, bits: int = SKETCH_BITS, least: float = LEAST, crowd: int = CROWD, ahead: int = AHEAD) -> DataFrame:
     """Pairs (u, v), u < v, of nodes that join exactly the components of all pairs of texts(t, node, sketches, signature) that share a bucket of any covering table and are alike.
 
+    The buckets of the first `ahead` sketches come first. What they join is one node in
+    the buckets of the others, and a bucket of one node has nothing to compare: so of a
+    crowd of near copies few of the later buckets are left.
+    """
+    found = checkpoint(_met(texts.withColumn("sketches", F.slice("sketches", 1, ahead)), radius, bits, least, crowd))
+    rest = texts.join(components(found), "node", "left").select("t", F.coalesce("root", "node").alias("node"), F.expr(f"slice(sketches, {ahead + 1}, size(sketches))").alias("sketches"), "signature")
+    return found.union(_met(checkpoint(rest), radius, bits, least, crowd))
+
+
+def _met(texts: DataFrame, radius: int, bits: int, least: float, crowd: int) -> DataFrame:
+    """The pairs of similar(), by the buckets of all sketches at once.
+
     Every member of a bucket is compared with every other unless they are joined already,
     but a spanning forest comes back, so rows are linear in the members. Buckets of over
     `crowd` members are dealt into parts; the members of a part meet each other and one
@@ -273,10 +313,12 @@ def similar(texts: DataFrame, radius: int = RADIUS, bits: int = SKETCH_BITS, lea
     """
     kept = F.array(*map(_long, masks(radius, bits)))
     keys = F.flatten(F.transform("sketches", lambda x, k: F.transform(kept, lambda m, t: F.xxhash64(k * 100 + t, x.bitwiseAND(m)))))
-    placed = texts.select("t", "node", F.explode(keys).alias("b"))
-    counted = placed.groupBy("b").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("t")).alias("x")).where("lo < hi")
-    buckets = checkpoint(counted.groupBy("n", "lo", "hi", "x").agg(F.min("b").alias("b")).select("b", F.ceil(F.col("n") / crowd).cast("int").alias("parts")))
-    shared = placed.join(buckets, "b").withColumn("part", F.pmod(F.xxhash64("t", F.lit(1)), F.col("parts")).cast("int"))
+    bucket = Window.partitionBy("b")  # not an aggregate and a join, which would move all rows twice
+    told = {"n": F.count("*"), "lo": F.min("node"), "hi": F.max("node"), "x": F.bit_xor(F.xxhash64("t"))}
+    placed = texts.select("t", "node", F.explode(keys).alias("b")).select("*", *(f.over(bucket).alias(k) for k, f in told.items())).where("lo < hi")
+    placed = checkpoint(placed)
+    buckets = placed.groupBy("n", "lo", "hi", "x").agg(F.min("b").alias("b")).select("b", F.ceil(F.col("n") / crowd).cast("int").alias("parts"))
+    shared = placed.select("t", "node", "b").join(buckets, "b").withColumn("part", F.pmod(F.xxhash64("t", F.lit(1)), F.col("parts")).cast("int"))
     shared = checkpoint(shared)  # so that the join has exchanges of its own, which can be split
     members = shared.join(texts.select("t", "node", "signature"), ["t", "node"])
     listed = members.groupBy("b", "parts", "part").agg(F.collect_list(F.struct("node", "signature")).alias("m"))

@@ -247,6 +247,68 @@ def test_a_crowd_of_copies_is_compared_in_rows_linear_in_its_members(spark, monk
     assert 0 < rows[0].count() <= 21  # one for each of the 21 parts
 
 
+@pytest.mark.parametrize("few", [0, simhash.FEW])
+def test_components_by_rounds_and_by_one_task(spark, few):
+    rnd = random.Random(29)
+    nodes = [rnd.randrange(-(2**62), 2**62) for _ in range(300)]
+    pairs = [*zip(nodes[:60], nodes[1:61], strict=True), *((nodes[70], x) for x in nodes[71:130]), *(tuple(rnd.sample(nodes[130:], 2)) for _ in range(90))]
+    pairs = [(min(p), max(p)) for p in pairs]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs + pairs[:9], "u long, v long"), few).collect()}
+    parent = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in pairs:
+        parent[max(find(u), find(v))] = min(find(u), find(v))
+    assert got == {x: find(x) for x in parent}
+    assert simhash.components(spark.createDataFrame([], "u long, v long"), few).count() == 0
+
+
+@pytest.mark.parametrize("crowd", [3, 8192])
+def test_later_sketches_join_what_the_first_leave_apart(spark, crowd):
+    rnd = random.Random(31)
+    made = []
+    for b in [bytes(rnd.randrange(1, 256) for _ in range(simhash.BINS)) for _ in range(5)]:
+        for _ in range(14):  # chains whose ends are unlike
+            b = bytes(rnd.randrange(1, 256) if rnd.random() < 0.3 else x for x in b)
+            made.append((b, [rnd.choice([0x0F, 0xF0F0, 0x333333]) for _ in range(3)]))
+    rows = [(i, i, x, s) for i, (s, x) in enumerate(made)]
+    edges = simhash.similar(spark.createDataFrame(rows, "t long, node long, sketches array<bigint>, signature binary"), crowd=crowd, ahead=1)
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+
+    def joined(n):
+        parent = list(range(len(made)))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i, (s, x) in enumerate(made):
+            for j, (t, y) in enumerate(made[:i]):
+                if any((a ^ b) & m == 0 for a, b in zip(x[:n], y[:n], strict=True) for m in simhash.masks(2, 48)) and sum(map(int.__eq__, s, t)) >= 0.5 * simhash.BINS:
+                    parent[max(find(i), find(j))] = min(find(i), find(j))
+        return [find(i) for i in range(len(made))]
+
+    assert [got.get(i, i) for i in range(len(made))] == joined(3) != joined(1)
+
+
+def test_a_crowd_of_near_copies_meets_in_few_buckets(spark, monkeypatch):
+    """Of its 112 buckets a text goes into the comparison with those that its group isn't joined before; rows are linear in the group."""
+    rnd, words, kept, seen = random.Random(37), [f"word{i}" for i in range(80)], simhash._linked, []
+    monkeypatch.setattr(simhash, "_linked", lambda rows, least: seen.append(rows.agg(F.sum(F.size("m")).alias("n")).first().n or 0) or kept(rows, least))
+    took = {}
+    for n in (200, 400):
+        seen.clear()
+        docs = spark.createDataFrame([(i, " ".join(edited(rnd, words, [f"other{k}" for k in range(5000)], 2)), "en", "s", 0) for i in range(n)], SCHEMA)
+        assert len({r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}) <= n // 50
+        took[n] = sum(seen)
+    assert 0 < took[400] <= 30 * 400 and took[400] <= 2.5 * took[200]
+
+
 def test_recall_by_similarity(spark):
     """Of pairs of texts with a five-word similarity of 0.7 or more, nearly all lose one; of those below 0.3, none do."""
     rnd = random.Random(17)
